@@ -99,7 +99,7 @@ def _renamed(queries: DataFrame, database: DataFrame) -> tuple[DataFrame, DataFr
     return q, d
 
 
-def _keep_nearest(found: DataFrame, count: int) -> DataFrame:
+def keep_nearest(found: DataFrame, count: int) -> DataFrame:
     """Merge the winners of all blocks; Spark limits each group before the shuffle."""
     best = W.partitionBy("query_id", "scale", "q_vec").orderBy("dist", "d_vec")
     return found.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= count).drop("_place")
@@ -123,7 +123,7 @@ def blocked_neighbours(
 ) -> DataFrame:
     """Exact search without pruning: every block of a scale meets every query block of it."""
     q, d = _renamed(queries, database)
-    return _keep_nearest(_join_blocks(q, d, ["scale"], count, params), count)
+    return keep_nearest(_join_blocks(q, d, ["scale"], count, params), count)
 
 
 class Pivots:
@@ -229,7 +229,7 @@ def exact_neighbours(
     fanned = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())])
     arrow_q = to_arrow_schema(fanned)
     asked = q.mapInArrow(lambda b: _fan_out(b, arrow_q, measured, count), fanned)
-    return _keep_nearest(_join_blocks(asked, placed.drop("far"), ["scale", "cell"], count, params), count)
+    return keep_nearest(_join_blocks(asked, placed.drop("far"), ["scale", "cell"], count, params), count)
 
 
 def lsh_bits(rows: int, params: NeighbourParams) -> int:
@@ -275,7 +275,7 @@ def lsh_neighbours(
     keys = ["scale", "table_no", "bucket"]
     found = _join_blocks(bucketed(q, bits, tables, seed), bucketed(d, bits, tables, seed), keys, count, params)
     once = found.dropDuplicates(["query_id", "scale", "q_vec", "d_vec"])
-    return _keep_nearest(once, count)
+    return keep_nearest(once, count)
 
 
 METHODS = {"exact": exact_neighbours, "blocked": blocked_neighbours, "lsh": lsh_neighbours}

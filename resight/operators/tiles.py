@@ -94,8 +94,8 @@ def dense_index(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        cut.withColumn("_place", F.row_number().over(inside) - 1)
+        cut.withColumn("_inside", F.row_number().over(inside) - 1)
         .join(shifts, [*keys, "_bucket"])
-        .withColumn(out, (F.col("_shift") + F.col("_place")).cast("bigint"))
-        .drop("_bucket", "_shift", "_place")
+        .withColumn(out, (F.col("_shift") + F.col("_inside")).cast("bigint"))
+        .drop("_bucket", "_shift", "_inside")
     )

@@ -84,7 +84,7 @@ class RosterReaders:
 
 def annotations(roster_ids: DataFrame, annots: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Attributes of the given aids by key join instead of positional look-up."""
-    out = roster_ids.select("aid").join(annots, "aid")
+    out = roster_ids.join(annots, "aid")
     return out if names is None else out.join(names, "nid")
 
 
