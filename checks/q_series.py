@@ -11,6 +11,7 @@ from resight.functions import vectors as V
 from resight.operators import curvature, descriptors, splits, warping
 from resight.operators import series as S
 from resight.params import DescriptorParams, GaussParams, SplitParams, WarpParams
+from resight.session import cut
 
 RADII = [20.0, 60.0]
 
@@ -88,18 +89,18 @@ def week_series(t, length: int, num_db: int = 3):
     pts = I.contour(t).select("contour_id", "idx", "x", "y", F.floor(F.col("x") / 7).cast("bigint").alias("week"))
     keys = ["contour_id", "week"]
     first = pts.groupBy(*keys).agg(F.min("idx").alias("_first"))
-    cut = pts.join(first, keys).select(*keys, (F.col("idx") - F.col("_first")).alias("idx"), (F.col("x") % 7).alias("x"), "y")
-    scaled = S.minmax_scaled(S.minmax_scaled(cut, keys, "y", "b"), keys, "x", "a")
+    local = pts.join(first, keys).select(*keys, (F.col("idx") - F.col("_first")).alias("idx"), (F.col("x") % 7).alias("x"), "y")
+    scaled = S.minmax_scaled(S.minmax_scaled(local, keys, "y", "b"), keys, "x", "a")
     even = S.resample(scaled, length, keys, ["a", "b"])
-    packed = even.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "a", "b"))).alias("_v")).select(
-        *keys, F.flatten(F.transform("_v", lambda v: F.array(v["a"], v["b"]))).alias("values"))
+    packed = cut(even.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "a", "b"))).alias("_v")).select(
+        *keys, F.flatten(F.transform("_v", lambda v: F.array(v["a"], v["b"]))).alias("values")), "series")
     roles = splits.random_roles(
         packed.select(F.col("contour_id").cast("string").alias("individual"), F.col("week").cast("string").alias("encounter")),
         SplitParams(num_db=num_db))
     named = packed.select("contour_id", F.col("week").cast("string").alias("encounter"),
                           F.col("contour_id").cast("string").alias("individual"),
                           (F.col("contour_id") * 10 + F.col("week")).alias("series_id"), "values")
-    both = named.join(roles, ["individual", "encounter"])
+    both = cut(named.join(roles, ["individual", "encounter"]), "weeks")
     queries = both.filter("role = 'query'").select(F.col("series_id").alias("query_id"), "series_id", "values")
     database = both.filter("role = 'db'").select(F.col("contour_id").alias("target_id"), "series_id", "values")
     return queries, database

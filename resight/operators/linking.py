@@ -190,40 +190,74 @@ def _ring_places(members: DataFrame, links: DataFrame, start: DataFrame) -> Data
     return sized.select("image_id", "low", idx.cast("bigint").alias("idx"), "i", "j")
 
 
+# The four half-open quadrants: (row cells, column cells) to look into from the own cell.
+_QUADRANT_CELLS = {1: ((-1, 0), (0, 1)), 2: ((-1, 0), (-1, 0)), 3: ((0, 1), (-1, 0)), 4: ((0, 1), (0, 1))}
+
+
+def _quadrant(di: Column, dj: Column) -> Column:
+    return (
+        F.when((di <= 0) & (dj > 0), 1).when((di < 0) & (dj <= 0), 2).when((di >= 0) & (dj < 0), 3)
+        .when((di > 0) & (dj >= 0), 4)
+    )
+
+
+def _halvings(places: DataFrame, max_dist: float, per_cell: int = 32, most: int = 12) -> int:
+    """How often to halve the cell side so that the fullest cell holds about `per_cell` places."""
+    side = F.lit(float(max_dist))
+    cell = [F.floor(F.col("o_i") / side).alias("a"), F.floor(F.col("o_j") / side).alias("b")]
+    fullest = places.groupBy("image_id", *cell).count().agg(F.max("count")).first()[0] or 1
+    return max(0, min(most, math.ceil(math.log(max(fullest / per_cell, 1.0), 4))))
+
+
 def quadrant_neighbours(endpoints: DataFrame, max_dist: float) -> DataFrame:
     """Nearest endpoint in each of four half-open quadrants, nearer than `max_dist`.
 
-    endpoints(image_id, contour_id, end_id, i, j). Cells of side `max_dist` make it an equi join
-    on (image, cell). The nearest is chosen first and dropped if it is of the same contour.
+    endpoints(image_id, contour_id, end_id, i, j). The nearest is chosen first and dropped if it
+    is of the same contour.
+
+    The search is an equi join on grid cells, from fine cells to coarse ones. A neighbour found
+    within one cell side is final, so only quadrants that are empty nearby go on to cells of
+    twice the side; in crowded places no point meets more than its close surroundings.
     """
-    side = F.lit(float(max_dist))
-    gi, gj = F.floor(F.col("i") / side), F.floor(F.col("j") / side)
-    around = F.array(*[F.lit(o).cast("bigint") for o in (-1, 0, 1)])
-    asked = (
-        endpoints.withColumns({"_gi": gi, "_gj": gj}).withColumn("_a", F.explode(around))
-        .withColumn("_b", F.explode(around))
-        .withColumns({"_gi": F.col("_gi") + F.col("_a"), "_gj": F.col("_gj") + F.col("_b")}).drop("_a", "_b")
-    )
+    endpoints = cut(endpoints.select("image_id", "contour_id", "end_id", "i", "j"), "ends")
     # Endpoints at the same place are at equal distance: the smallest id stands for the place.
-    others = endpoints.groupBy("image_id", "i", "j").agg(
-        F.min(F.struct("end_id", "contour_id")).alias("_o")
-    ).select("image_id", F.col("i").alias("o_i"), F.col("j").alias("o_j"), F.col("_o.end_id").alias("o_end"),
-             F.col("_o.contour_id").alias("o_contour"), F.floor(F.col("i") / side).alias("_gi"),
-             F.floor(F.col("j") / side).alias("_gj"))
-    di, dj = F.col("o_i") - F.col("i"), F.col("o_j") - F.col("j")
-    dist = F.sqrt(di * di + dj * dj)
-    quadrant = (
-        F.when((di <= 0) & (dj > 0), 1).when((di < 0) & (dj <= 0), 2).when((di >= 0) & (dj < 0), 3)
-        .when((di > 0) & (dj >= 0), 4)
-    )
-    near = (
-        asked.join(others, ["image_id", "_gi", "_gj"])
-        .withColumns({"dist": dist, "quadrant": quadrant})
-        .filter((F.col("dist") > 0) & (F.col("dist") < max_dist))
-    )
-    w = W.partitionBy("image_id", "end_id", "quadrant").orderBy("dist", "o_end")
-    nearest = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-    return nearest.filter(F.col("o_contour") != F.col("contour_id")).select(
+    places = cut(
+        endpoints.groupBy("image_id", "i", "j").agg(F.min(F.struct("end_id", "contour_id")).alias("_o")).select(
+            "image_id", F.col("i").alias("o_i"), F.col("j").alias("o_j"), F.col("_o.end_id").alias("o_end"),
+            F.col("_o.contour_id").alias("o_contour")), "places")
+    looks = F.array(*[
+        F.struct(F.lit(q).alias("quadrant"),
+                 F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
+                           for a in rows for b in cols]).alias("_cells"))
+        for q, (rows, cols) in _QUADRANT_CELLS.items()
+    ])
+    asked = endpoints.select("image_id", "contour_id", "end_id", "i", "j", F.inline(looks))
+    asker = ["image_id", "end_id", "quadrant"]
+    done = None
+    halvings = _halvings(places, max_dist)
+    for level in range(halvings, -1, -1):
+        width = float(max_dist) / 2**level
+        side = F.lit(width)
+        cells = asked.select(*asker, "i", "j", F.explode("_cells").alias("_c")).select(
+            *asker, "i", "j", (F.floor(F.col("i") / side) + F.col("_c.a")).alias("_gi"),
+            (F.floor(F.col("j") / side) + F.col("_c.b")).alias("_gj"))
+        others = places.withColumns({"_gi": F.floor(F.col("o_i") / side), "_gj": F.floor(F.col("o_j") / side)})
+        di, dj = F.col("o_i") - F.col("i"), F.col("o_j") - F.col("j")
+        near = (
+            cells.join(others, ["image_id", "_gi", "_gj"])
+            .withColumns({"dist": F.sqrt(di * di + dj * dj), "_seen": _quadrant(di, dj)})
+            .filter((F.col("_seen") == F.col("quadrant")) & (F.col("dist") > 0) & (F.col("dist") < width))
+        )
+        w = W.partitionBy(*asker).orderBy("dist", "o_end")
+        best = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+        best = best.select(*asker, "dist", "o_end", "o_contour")
+        answered = asked.join(best, asker, "left")
+        if level:
+            answered = cut(answered, "quadrants")
+            asked = answered.filter("o_end is null").drop("dist", "o_end", "o_contour")
+        found = answered.filter("o_end is not null").select(*asker, "contour_id", "dist", "o_end", "o_contour")
+        done = found if done is None else done.unionByName(found)
+    return done.filter(F.col("o_contour") != F.col("contour_id")).select(
         "image_id", F.col("end_id").alias("src"), F.col("o_end").alias("dst"), "quadrant", (-F.col("dist")).alias("weight")
     )
 
