@@ -32,7 +32,7 @@ def contour(t: Tables) -> DataFrame:
         F.col("user_id").alias("contour_id"), "ts", "event_id",
         ((epoch_micros(F.col("ts")) - START) / F.lit(86400000000.0)).alias("x"), F.col("value").alias("y"),
     )
-    return dense_index(rows, ["contour_id"], ["ts", "event_id"], F.to_date("ts")).drop("ts", "event_id")
+    return dense_index(rows, ["contour_id"], ["ts", "event_id"], F.date_trunc("hour", "ts")).drop("ts", "event_id")
 
 
 CONTOUR = f"""pt AS (SELECT user_id AS contour_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,

@@ -35,25 +35,34 @@ def pack(
 
 
 def meet(
-    left: DataFrame, right: DataFrame, keys: list[str], large_right: DataFrame, blocks_per_salt: int,
-    deal_out: bool = False,
+    left: DataFrame, right: DataFrame, keys: list[str], large_left: DataFrame, large_right: DataFrame,
+    blocks_per_salt: int, deal_out: bool = False,
 ) -> DataFrame:
     """Every left block of a key beside every right block of the same key.
 
-    Right blocks of a large key are spread over salts; the few packed left rows of that key are
-    copied to each salt. Both sides are partitioned by (keys, salt) with the session's shuffle
-    partition count as an explicit number: the rows are few but expensive, so they must not be
-    merged into few tasks by their byte size. With `deal_out` the meetings themselves are dealt
-    evenly over tasks, which pays when one meeting costs far more than moving it.
+    Blocks of a large key are spread over salts on both sides, and each side is copied to the
+    salts of the other: the meetings of one key form a grid of cells with at most
+    `blocks_per_salt` x `blocks_per_salt` meetings, each cell its own join key. Most keys are not
+    large and have one cell.
+
+    Both sides are partitioned with the session's shuffle partition count as an explicit number:
+    the rows are few but expensive, so they must not be merged into few tasks by their byte
+    size. With `deal_out` the meetings themselves are dealt evenly over tasks, which pays when
+    one meeting costs far more than moving it.
     """
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = large_right.select(*keys, F.ceil(F.col("_blocks") / F.lit(blocks_per_salt)).cast("bigint").alias("_salts"))
-    salted_right = right.withColumn("salt", F.floor(F.col("block") / F.lit(blocks_per_salt)).cast("bigint"))
-    salted_left = (
-        left.join(salts, keys, "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
+
+    def spread(side: DataFrame, own: str, other: str, large_other: DataFrame) -> DataFrame:
+        salts = large_other.select(*keys, F.ceil(F.col("_blocks") / F.lit(blocks_per_salt)).cast("bigint").alias("_salts"))
+        return (
+            side.withColumn(own, F.floor(F.col("block") / F.lit(blocks_per_salt)).cast("bigint"))
+            .join(salts, keys, "left")
+            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1)))
+            .drop("_salts", "block")
+            .repartition(tasks, *keys, "l_salt", "r_salt")
+        )
+
+    met = spread(left, "l_salt", "r_salt", large_right).join(
+        spread(right, "r_salt", "l_salt", large_left), [*keys, "l_salt", "r_salt"]
     )
-    on = [*keys, "salt"]
-    met = salted_left.drop("block").repartition(tasks, *on).join(salted_right.drop("block").repartition(tasks, *on), on)
     return met.repartition(tasks) if deal_out else met

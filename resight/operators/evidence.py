@@ -39,23 +39,24 @@ def total_scores(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "target_id").agg(F.sum("score").alias("score"))
 
 
-def fill_classes(scores: DataFrame, queries: DataFrame, classes: DataFrame, block: int = 1024) -> DataFrame:
+def fill_classes(scores: DataFrame, queries: DataFrame, classes: DataFrame, spread: int = 64) -> DataFrame:
     """Every (query, class) with 0.0 where no evidence exists.
 
-    The dense table is the result itself. Classes are packed into blocks and dealt out by block
-    number, so each output row is produced once and no key is hot.
+    The dense table is the result itself. Classes are packed into parts and queries into hands;
+    a part meets a hand under its own join key, so the spread x spread keys share the work and
+    each output row is produced once.
     """
-    spread = 64
-    parts = F.pmod(F.xxhash64("target_id"), F.lit(spread)).cast("int")
+    hand = F.pmod(F.xxhash64("query_id"), F.lit(spread)).cast("int")
+    part = F.pmod(F.xxhash64("target_id"), F.lit(spread)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
     packed = (
-        classes.select("target_id").distinct().withColumn("_part", parts)
-        .withColumn("_block", F.pmod(F.xxhash64("target_id", F.lit(1)), F.lit(block)))
+        classes.select("target_id").distinct()
+        .withColumns({"_part": part, "_block": F.pmod(F.xxhash64("target_id", F.lit(1)), F.lit(1024))})
         .groupBy("_part", "_block").agg(F.collect_list("target_id").alias("_ids"))
+        .withColumn("_hand", every)
     )
-    asked = queries.select("query_id").distinct().withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-    )
-    grid = asked.join(packed, "_part").select("query_id", F.explode("_ids").alias("target_id"))
+    asked = queries.select("query_id").distinct().withColumn("_hand", hand).withColumn("_part", every)
+    grid = asked.join(packed, ["_hand", "_part"]).select("query_id", F.explode("_ids").alias("target_id"))
     return (
         grid.join(scores, ["query_id", "target_id"], "left")
         .select("query_id", "target_id", F.coalesce("score", F.lit(0.0)).alias("score"))

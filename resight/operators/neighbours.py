@@ -67,20 +67,17 @@ def nearest_in_block(queries: np.ndarray, items: np.ndarray, ids: np.ndarray, co
 
 def _block_neighbours(batches, schema: pa.Schema, count: int):
     for batch in batches:
+        found = []
         for r in range(batch.num_rows):
             q, d = batch.column("_q")[r].values, batch.column("_d")[r].values
             ids = d.field("d_vec").to_numpy()
             rows, cols, dist = nearest_in_block(_matrix(q.field("vec")), _matrix(d.field("vec")), ids, count)
             rows, cols = pa.array(rows), pa.array(cols)
-            out = {
-                "query_id": q.field("query_id").take(rows),
-                "scale": pa.array([batch.column("scale")[r].as_py()] * len(rows), schema.field("scale").type),
-                "q_vec": q.field("q_vec").take(rows),
-                "d_vec": d.field("d_vec").take(cols),
-                "target": d.field("target").take(cols),
-                "dist": pa.array(dist),
-            }
-            yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in schema], schema=schema)
+            scale = batch.column("scale").take(pa.array([r] * len(rows), pa.int64()))
+            out = [q.field("query_id").take(rows), scale, q.field("q_vec").take(rows), d.field("d_vec").take(cols),
+                   d.field("target").take(cols), pa.array(dist)]
+            found.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, schema)], schema=schema))
+        yield from pa.Table.from_batches(found, schema).combine_chunks().to_batches()
 
 
 def _result_schema(queries: DataFrame, database: DataFrame) -> T.StructType:
@@ -106,12 +103,13 @@ def keep_nearest(found: DataFrame, count: int) -> DataFrame:
 
 
 def _join_blocks(q: DataFrame, d: DataFrame, keys: list[str], count: int, params: NeighbourParams) -> DataFrame:
+    large_q = blocks.large_keys(q, keys, params.block_rows)
     large_d = blocks.large_keys(d, keys, params.block_rows)
-    q_blocks = blocks.pack(q, keys, "q_vec", ["query_id", "q_vec", "vec"], params.block_rows)
+    q_blocks = blocks.pack(q, keys, "q_vec", ["query_id", "q_vec", "vec"], params.block_rows, large_q)
     d_blocks = blocks.pack(d, keys, "d_vec", ["d_vec", "target", "vec"], params.block_rows, large_d)
     met = blocks.meet(
         q_blocks.withColumnRenamed("_items", "_q"), d_blocks.withColumnRenamed("_items", "_d"),
-        keys, large_d, params.blocks_per_salt,
+        keys, large_q, large_d, params.blocks_per_salt,
     )
     spark_schema = _result_schema(q, d)
     schema = to_arrow_schema(spark_schema)

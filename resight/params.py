@@ -75,7 +75,7 @@ class NeighbourParams:
     """How vectors are cut into bounded blocks before distances are taken."""
 
     block_rows: int = 1024
-    blocks_per_salt: int = 32
+    blocks_per_salt: int = 8
     min_pivots: int = 4
     pivots: int = 512
     max_pivot_cells: int = 20_000
@@ -103,6 +103,7 @@ class WarpParams:
     length: int = 128
     cost: str = "chi_square"
     block_rows: int = 64
+    blocks_per_salt: int = 8
 
 
 @dataclass(frozen=True)

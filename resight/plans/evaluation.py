@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resight.operators import ranking as R
+from resight.session import cut
 
 
 def evaluate(
@@ -18,7 +19,8 @@ def evaluate(
     array only when `max_names` bounds it; otherwise it comes as rows (position, name).
     """
     keys = ["run", "enc"]
-    ranks = R.true_ranks(scores, truth, keys, database)
+    # All four tables start from the ranks, so these are written once.
+    ranks = cut(R.true_ranks(scores, truth, keys, database), "ranks")
     held = scores if database is None else database
     sizes = held.select("run", "target_id").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("n_individuals"))
     order = R.top_names(scores, max_names, keys)

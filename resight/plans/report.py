@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from resight.operators import splits
 
 
 def catalogue_report(roster: DataFrame, status: DataFrame) -> DataFrame:
     """(bin, images_density, encounters_density, n_success, n_total)."""
-    counts = splits.success_report(status).select("n_success", "n_total")
-    # One row of two numbers beside eighteen bins.
-    return splits.encounter_statistics(roster).join(F.broadcast(counts))
+    counts = splits.success_report(status)
+    return splits.encounter_statistics(roster).withColumns(
+        {c: counts.select(c).scalar() for c in ("n_success", "n_total")}
+    )

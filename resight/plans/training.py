@@ -19,10 +19,8 @@ def train_names(names: DataFrame, train_share: float = 0.8, seed: int = 0) -> Da
         {"_key": text.shuffle_key(seed, F.col("name")), "_one": F.lit(0)}
     )
     placed = dense_index(keyed, ["_one"], ["_key", "name"], F.substring("_key", 1, 2), out="_place")
-    total = placed.agg(F.count(F.lit(1)).alias("_total"))
-    # One-row table; it holds a single number.
-    limit = F.floor(F.col("_total") * F.lit(train_share))
-    return placed.join(F.broadcast(total)).select("name", (F.col("_place") < limit).alias("is_train"))
+    total = placed.agg(F.count(F.lit(1))).scalar()
+    return placed.select("name", (F.col("_place") < F.floor(total * F.lit(train_share))).alias("is_train"))
 
 
 def named_parts(parts: DataFrame, annots: DataFrame) -> DataFrame:
