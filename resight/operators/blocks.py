@@ -62,7 +62,8 @@ def meet(
             .repartition(tasks, *keys, "l_salt", "r_salt")
         )
 
-    met = spread(left, "l_salt", "r_salt", large_right).join(
+    # Copies make the real size larger than the planner's estimate, so no side may be broadcast.
+    met = spread(left, "l_salt", "r_salt", large_right).hint("merge").join(
         spread(right, "r_salt", "l_salt", large_left), [*keys, "l_salt", "r_salt"]
     )
     return met.repartition(tasks) if deal_out else met

@@ -56,7 +56,7 @@ def fill_classes(scores: DataFrame, queries: DataFrame, classes: DataFrame, spre
         .withColumn("_hand", every)
     )
     asked = queries.select("query_id").distinct().withColumn("_hand", hand).withColumn("_part", every)
-    grid = asked.join(packed, ["_hand", "_part"]).select("query_id", F.explode("_ids").alias("target_id"))
+    grid = asked.hint("merge").join(packed, ["_hand", "_part"]).select("query_id", F.explode("_ids").alias("target_id"))
     return (
         grid.join(scores, ["query_id", "target_id"], "left")
         .select("query_id", "target_id", F.coalesce("score", F.lit(0.0)).alias("score"))

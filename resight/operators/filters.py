@@ -18,7 +18,9 @@ def good_quality(
 ) -> DataFrame:
     """Sum of the grade codes within the limit, distinct enough, and from one of the years."""
     total = sum((F.col(g) for g in grades[1:]), F.col(grades[0]))
-    return catalogue.filter((total <= worst_sum) & F.col(rating).isin(*ratings) & F.year(taken).isin(*years))
+    # The span of the years follows from the list; unlike year() it reaches the file scan.
+    span = (taken >= F.lit(f"{min(years)}-01-01")) & (taken < F.lit(f"{max(years) + 1}-01-01"))
+    return catalogue.filter(span & (total <= worst_sum) & F.col(rating).isin(*ratings) & F.year(taken).isin(*years))
 
 
 def known_names(roster: DataFrame, placeholder: str = text.UNKNOWN) -> DataFrame:

@@ -29,7 +29,8 @@ def cell_neighbours(peaks: DataFrame) -> DataFrame:
         {"o_i": F.col("i") + F.col("_o.di"), "o_j": F.col("j") + F.col("_o.dj")}
     ).drop("_o")
     others = peaks.select("image_id", *[F.col(c).alias(f"o_{c}") for c in ("i", "j", "pi", "pj", "ni", "nj")])
-    return asked.join(others, ["image_id", "o_i", "o_j"])
+    # The copies outgrow the planner's estimate: never broadcast them.
+    return asked.hint("merge").join(others, ["image_id", "o_i", "o_j"])
 
 
 def _gap() -> Column:
@@ -244,7 +245,7 @@ def quadrant_neighbours(endpoints: DataFrame, max_dist: float) -> DataFrame:
         others = places.withColumns({"_gi": F.floor(F.col("o_i") / side), "_gj": F.floor(F.col("o_j") / side)})
         di, dj = F.col("o_i") - F.col("i"), F.col("o_j") - F.col("j")
         near = (
-            cells.join(others, ["image_id", "_gi", "_gj"])
+            cells.hint("merge").join(others, ["image_id", "_gi", "_gj"])
             .withColumns({"dist": F.sqrt(di * di + dj * dj), "_seen": _quadrant(di, dj)})
             .filter((F.col("_seen") == F.col("quadrant")) & (F.col("dist") > 0) & (F.col("dist") < width))
         )

@@ -288,7 +288,7 @@ def half_length_response(points: DataFrame, block: int = 512) -> DataFrame:
             F.least(tiles.tile_of(last + steps, block), tiles.tile_of(F.col("n") - 1, block)),
         )),
     )
-    met = src.join(reach, ["contour_id", "_b"]).drop("_b", "_o")
+    met = src.hint("merge").join(reach, ["contour_id", "_b"]).drop("_b", "_o")
     key_type = points.schema["contour_id"].dataType.simpleString()
     parts = met.mapInPandas(_partial_responses, f"contour_id {key_type}, idx bigint, x double, y double")
     summed = parts.groupBy("contour_id", "idx").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
