@@ -10,6 +10,7 @@ from checks.q_joins import QUADRANTS
 from checks.q_series import week_series
 from checks.q_sources import CATALOGUE, graded_roster
 from checks.registry import query
+from checks.sql_series import chains_sql, warp_sql, week_series_sql
 from resight.functions import vectors as V
 from resight.operators import linking, splits, warping
 from resight.params import LnbnnParams, SnapshotParams, SplitParams, WarpParams
@@ -206,7 +207,7 @@ def _(t):
     return out.withColumns({"idx": F.col("idx").cast("bigint"), **{c: V.tidy(F.col(c)) for c in ("x", "y", "r")}})
 
 
-@query("j14_link_points")
+@query("j14_link_points", chains_sql())
 def _(t):
     return linking.link_points(I.peaks(t), merge=True)
 
@@ -240,7 +241,8 @@ def _(t):
     return graded_roster(t).groupBy("individual").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("encounter").alias("n_encounters"))
 
 
-@query("j8_warping_scores_weighted")
+@query("j8_warping_scores_weighted", f"""WITH {week_series_sql(16)}, {warp_sql(16, 8, "chi_square", "humpback")}
+SELECT query_id, target_id, round(score, 6) + 0.0 AS score FROM ws_best""")
 def _(t):
     queries, database = week_series(t, 16)
     out = warping.warping_scores(queries, database, WarpParams(window=8, length=16), 2, "humpback")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from checks.q_windows import smooth_sql
 from checks.registry import query
+from checks.sql_series import gauss_sql, warp_sql, week_series_sql
 from resight.functions import vectors as V
 from resight.operators import curvature, descriptors, splits, warping
 from resight.operators import series as S
@@ -77,11 +78,11 @@ def _(t):
                         V.tidy(V.sum_of(piece)).alias("total"))
 
 
-@query("j3_gauss_descriptors")
+@query("j3_gauss_descriptors", gauss_sql())
 def _(t):
     out = descriptors.gauss_descriptors(I.contour(t), GaussParams(length=256, num_keypoints=10))
-    return out.select("contour_id", "scale", "idx0", "idx1", F.posexplode("vec").alias("dim", "value")).withColumn(
-        "value", V.tidy(F.col("value")))
+    wide = out.select("contour_id", "scale", "idx0", "idx1", F.posexplode("vec").alias("dim", "value"))
+    return wide.withColumns({"dim": F.col("dim").cast("bigint"), "value": V.tidy(F.col("value"))})
 
 
 def week_series(t, length: int, num_db: int = 3):
@@ -112,17 +113,22 @@ def _warped(t, cost):
     return scores.select("query_id", "target_id", V.tidy(F.col("score")).alias("score"))
 
 
-@query("i1_warp_chi_square")
+WARPED = "WITH {series}, {best} SELECT query_id, target_id, round(score, 6) + 0.0 AS score FROM ws_best"
+
+
+@query("i1_warp_chi_square", WARPED.format(series=week_series_sql(16), best=warp_sql(16, 4, "chi_square")))
 def _(t):
     return _warped(t, "chi_square")
 
 
-@query("i2_warp_euclidean")
+@query("i2_warp_euclidean", WARPED.format(series=week_series_sql(16), best=warp_sql(16, 4, "euclidean")))
 def _(t):
     return _warped(t, "euclidean")
 
 
-@query("i3_distance_to_individual")
+@query("i3_distance_to_individual", f"""WITH {week_series_sql(16)}, {warp_sql(16, 4, "chi_square", "bottlenose")},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, target_id) AS rank FROM ws_best)
+SELECT q.query_id, q.query_id // 10 AS ind, coalesce(r.rank, -1) AS rank FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.target_id = q.query_id // 10""")
 def _(t):
     from resight.operators import ranking
 
