@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from resight.session import cut
+from resight.session import cut, cut_and_observe
 
 # Fixed value: peaks closer than this share of a cell are one peak.
 MERGE_DISTANCE = math.sqrt(2.0) / 4.0
@@ -83,13 +83,13 @@ def mutual_links(links: DataFrame) -> DataFrame:
     return links.join(back, [*NODE, "t_i", "t_j"], "left_semi")
 
 
-def _walks(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _walks(links: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, bool]:
     """Follow every link to the end of its chain by pointer doubling.
 
     An arc a -> b is followed by b -> c with c != a. After r rounds an arc has seen 2^r steps,
     so a chain of n points needs log2(n) rounds, each one join on the arc. The table is cut with
-    a written table every round. Returns arcs with hops to the end, the end node, whether the walk
-    closes a ring, and the smallest node seen.
+    a written table every round. Returns arcs (a, b) with the end node u, the hops to it and the
+    smallest node seen, and whether there are rings (their arcs keep a continuation v).
     """
     node = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"))
     arcs = links.select("image_id", node("i", "j").alias("a"), node("t_i", "t_j").alias("b")).distinct()
@@ -103,29 +103,32 @@ def _walks(links: DataFrame, max_rounds: int = 64) -> DataFrame:
                 F.lit(1).cast("bigint").alias("hops"), F.least("a", "b").alias("low"))
     )
     # (u, v) is the arc the walk continues with; v is null at the end of a chain.
-    state = cut(state)
+    open_arcs = F.count("v").alias("open")
+    state, seen = cut_and_observe(state, "walks", open_arcs)
     for _ in range(max_rounds):
-        open_arcs = state.filter("v is not null")
+        if not seen["open"]:
+            return state, False
         jump = state.select(
             "image_id", F.col("a").alias("u"), F.col("b").alias("v"), F.col("u").alias("_u"), F.col("v").alias("_v"),
             F.col("hops").alias("_hops"), F.col("low").alias("_low"),
         )
-        moved = open_arcs.join(jump, ["image_id", "u", "v"]).select(
+        moved = state.filter("v is not null").join(jump, ["image_id", "u", "v"]).select(
             "image_id", "a", "b", F.col("_u").alias("u"), F.col("_v").alias("v"),
             (F.col("hops") + F.col("_hops")).alias("hops"), F.least("low", "_low").alias("low"),
             (F.col("_v").isNull() | (F.col("_low") < F.col("low"))).alias("_new"),
         )
-        state = cut(moved.unionByName(state.filter("v is null").withColumn("_new", F.lit(False))))
-        progress = state.agg(F.max(F.col("_new").cast("int"))).first()[0]
+        merged = moved.unionByName(state.filter("v is null").withColumn("_new", F.lit(False)))
+        state, seen = cut_and_observe(merged, "walks", open_arcs, F.count(F.when(F.col("_new"), 1)).alias("progress"))
         state = state.drop("_new")
-        if not progress:
-            return state
+        if not seen["progress"]:
+            return state, True
     raise RuntimeError("chains did not close; raise max_rounds")
 
 
 def connected_chains(peaks: DataFrame, links: DataFrame) -> DataFrame:
     """(image_id, i, j, chain_i, chain_j): the smallest cell of the chain each point belongs to."""
-    lows = _walks(links).groupBy("image_id", "a").agg(F.min("low").alias("_low"))
+    walks, _ = _walks(links)
+    lows = walks.groupBy("image_id", "a").agg(F.min("low").alias("_low"))
     nodes = peaks.select(*NODE).distinct()
     labelled = nodes.join(lows.select("image_id", F.col("a.i").alias("i"), F.col("a.j").alias("j"), "_low"), NODE, "left")
     return labelled.select(*NODE, F.coalesce(F.col("_low.i"), F.col("i")).alias("chain_i"),
@@ -140,7 +143,7 @@ def link_points(peaks: DataFrame, merge: bool = False) -> DataFrame:
     """
     used = collapse_near_peaks(peaks) if merge else peaks
     links = cut(mutual_links(directed_links(used)))
-    walks = _walks(links)
+    walks, has_rings = _walks(links)
     closed = F.col("v").isNotNull()
     per_node = walks.groupBy("image_id", "a").agg(
         F.min("low").alias("low"), F.max(closed).alias("ring"),
@@ -166,7 +169,7 @@ def link_points(peaks: DataFrame, merge: bool = False) -> DataFrame:
         F.when(F.struct("i", "j") == head, F.lit(0)).otherwise(arm["hops"]).cast("bigint").alias("idx"), "i", "j",
     )
     every = lines
-    if walks.filter(closed).limit(1).count():
+    if has_rings:
         every = lines.unionByName(_ring_places(nodes.filter("ring").select("image_id", "low", "i", "j"), links, start))
     name = F.concat_ws("-", F.col("image_id").cast("string"), F.col("low.i").cast("string"), F.col("low.j").cast("string"))
     return every.select("image_id", name.alias("contour_id"), "idx", "i", "j")
@@ -179,7 +182,7 @@ def _ring_places(members: DataFrame, links: DataFrame, start: DataFrame) -> Data
     # Without the arcs into the smallest cell every walk ends before it.
     inner = links.join(of, NODE).filter(F.struct("t_i", "t_j") != F.struct(F.col("low.i"), F.col("low.j")))
     inner = inner.filter(F.struct("i", "j") != F.struct(F.col("low.i"), F.col("low.j"))).drop("low")
-    walked = _walks(inner).select("image_id", F.col("a.i").alias("i"), F.col("a.j").alias("j"), "u", "hops")
+    walked = _walks(inner)[0].select("image_id", F.col("a.i").alias("i"), F.col("a.j").alias("j"), "u", "hops")
     first = start.select("image_id", "low", F.col("_f").alias("u"))
     placed = of.join(first, ["image_id", "low"]).join(walked, ["image_id", "i", "j", "u"], "left")
     sized = placed.join(sizes, ["image_id", "low"])

@@ -96,6 +96,18 @@ def _renamed(queries: DataFrame, database: DataFrame) -> tuple[DataFrame, DataFr
     return q, d
 
 
+def fold_copies(d: DataFrame, count: int) -> DataFrame:
+    """Keep the `count` smallest ids of each set of equal vectors.
+
+    Equal vectors are at equal distance from everything, so no further copy can be among the
+    `count` nearest. A collection in which one vector fills a third of the rows is thereby
+    reduced, map-side first, before any distances are taken.
+    """
+    copies = W.partitionBy("scale", "_hash", "vec").orderBy("d_vec")
+    hashed = d.withColumn("_hash", F.xxhash64("vec"))
+    return hashed.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= count).drop("_copy", "_hash")
+
+
 def keep_nearest(found: DataFrame, count: int) -> DataFrame:
     """Merge the winners of all blocks; Spark limits each group before the shuffle."""
     best = W.partitionBy("query_id", "scale", "q_vec").orderBy("dist", "d_vec")
@@ -121,7 +133,7 @@ def blocked_neighbours(
 ) -> DataFrame:
     """Exact search without pruning: every block of a scale meets every query block of it."""
     q, d = _renamed(queries, database)
-    return keep_nearest(_join_blocks(q, d, ["scale"], count, params), count)
+    return keep_nearest(_join_blocks(q, fold_copies(d, count), ["scale"], count, params), count)
 
 
 class Pivots:
@@ -217,9 +229,12 @@ def exact_neighbours(
     assigned = T.StructType([*d.schema.fields, T.StructField("cell", T.IntegerType()),
                              T.StructField("far", T.DoubleType())])
     arrow_d = to_arrow_schema(assigned)
-    placed = d.mapInArrow(lambda b: _assign(b, arrow_d, pivots), assigned)
+
+    def place(vectors: DataFrame) -> DataFrame:
+        return vectors.mapInArrow(lambda b: _assign(b, arrow_d, pivots), assigned)
+
     # One row per (scale, pivot): bounded by the check above.
-    reach = placed.groupBy(F.col("scale").cast("string").alias("scale"), "cell").agg(F.max("far").alias("r")).toPandas()
+    reach = place(d).groupBy(F.col("scale").cast("string").alias("scale"), "cell").agg(F.max("far").alias("r")).toPandas()
     radii = {s: np.full(len(v), -1.0) for s, v in pivots.vectors.items()}
     for row in reach.itertuples(index=False):
         radii[row.scale][row.cell] = row.r
@@ -227,7 +242,8 @@ def exact_neighbours(
     fanned = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())])
     arrow_q = to_arrow_schema(fanned)
     asked = q.mapInArrow(lambda b: _fan_out(b, arrow_q, measured, count), fanned)
-    return keep_nearest(_join_blocks(asked, placed.drop("far"), ["scale", "cell"], count, params), count)
+    placed = place(fold_copies(d, count)).drop("far")
+    return keep_nearest(_join_blocks(asked, placed, ["scale", "cell"], count, params), count)
 
 
 def lsh_bits(rows: int, params: NeighbourParams) -> int:
@@ -271,7 +287,8 @@ def lsh_neighbours(
         bits = lsh_bits(int(biggest), params)
     tables, seed = params.lsh_tables, params.seed
     keys = ["scale", "table_no", "bucket"]
-    found = _join_blocks(bucketed(q, bits, tables, seed), bucketed(d, bits, tables, seed), keys, count, params)
+    database_side = bucketed(fold_copies(d, count), bits, tables, seed)
+    found = _join_blocks(bucketed(q, bits, tables, seed), database_side, keys, count, params)
     once = found.dropDuplicates(["query_id", "scale", "q_vec", "d_vec"])
     return keep_nearest(once, count)
 

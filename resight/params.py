@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 
@@ -101,7 +102,7 @@ class LnbnnParams:
 class WarpParams:
     window: int = 8
     length: int = 128
-    cost: str = "chi_square"
+    cost: str | Callable = "chi_square"
     block_rows: int = 64
     blocks_per_salt: int = 8
 

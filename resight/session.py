@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "resight", master: str | None = None, **conf) -> SparkSession:
@@ -56,3 +56,9 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     place = scratch_path(spark, label)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def cut_and_observe(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """As `cut`, with aggregates taken while the table is written."""
+    seen = Observation()
+    return cut(df.observe(seen, *metrics), label), seen.get
