@@ -79,7 +79,7 @@ def _(t):
 @query("d7_collect_vectors", f"""WITH {I.VECTORS} SELECT scale, count(*) AS n_vectors, count(DISTINCT owner) AS n_owners,
   count(CASE WHEN NOT abs(sqrt(list_sum(list_transform(vec, lambda v: v * v))) - 1) < 1e-5 THEN 1 END) AS n_not_unit FROM vecs GROUP BY 1""")
 def _(t):
-    return descriptors.collection_report(I.vectors(t))
+    return descriptors.collection_report(descriptors.require_unit(I.vectors(t)))
 
 
 RANKS = """rk AS (SELECT l_suppkey % 5 AS run, l_orderkey AS enc, l_partkey AS ind, l_linenumber::BIGINT AS rank FROM lineitem)"""

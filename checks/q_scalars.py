@@ -121,6 +121,13 @@ def _(t):
     return out.select("contour_id", "idx", V.tidy(F.col("x")).alias("x"), V.tidy(F.col("y")).alias("y"))
 
 
+@query("s12_resample_array", """SELECT vec_id, m::INTEGER AS idx, round(a + (b - a) * f, 6) + 0.0 AS value FROM (SELECT vec_id, m, ((m * 63) % 25) / 25.0 AS f,
+  embedding[(m * 63) // 25 + 1]::DOUBLE AS a, coalesce(embedding[(m * 63) // 25 + 2]::DOUBLE, 0) AS b FROM embeddings, range(25) r(m))""")
+def _(t):
+    out = V.resample_array(V.doubles(F.col("embedding")), 25)
+    return t.embeddings.select("vec_id", F.posexplode(out).alias("idx", "value")).withColumn("value", V.tidy(F.col("value")))
+
+
 @query("s13_resample_arc", f"""WITH {I.CONTOUR}, st AS (SELECT contour_id, idx, x, y,
   sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM pt WINDOW w AS (PARTITION BY contour_id ORDER BY idx)),
 arc AS (SELECT contour_id, idx, x, y, sum(coalesce(d, 0)) OVER (PARTITION BY contour_id ORDER BY idx) AS u FROM st),

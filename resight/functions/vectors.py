@@ -73,14 +73,6 @@ def hyp_cost(strength: Column, floor: float = 1e-4) -> Column:
     return F.lit(1.0) / clip(strength, floor, 1.0)
 
 
-def lerp_at(values: Column, position: Column) -> Column:
-    """Linear interpolation in an array at a fractional 0-based position."""
-    low = F.floor(position).cast("int")
-    a = F.get(values, low)
-    b = F.coalesce(F.get(values, low + 1), a)
-    return a + (b - a) * (position - low)
-
-
 def resample_array(values: Column, length: int, first: Column | None = None, count: Column | None = None) -> Column:
     """`length` samples at i*(n-1)/length: the end of the slice is never reached."""
     start = F.lit(0) if first is None else first.cast("int")

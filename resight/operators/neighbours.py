@@ -163,26 +163,38 @@ class Pivots:
         return near & (radius >= 0)[None, :]
 
 
-def pivots_per_scale(d: DataFrame, params: NeighbourParams) -> int:
-    """As many pivots as leave a few full blocks per cell, up to the parameter."""
-    biggest = d.groupBy("scale").count().agg(F.max("count")).first()[0] or 0
-    return int(min(params.pivots, biggest // (2 * params.block_rows)))
+def pivots_wanted(d: DataFrame, params: NeighbourParams) -> dict[str, tuple[int, int]]:
+    """Per scale: number of vectors and of pivots that leave a few full blocks per cell.
+
+    Only the scale column is read. More scales than `max_pivot_cells` are refused.
+    """
+    counted = d.groupBy(F.col("scale").cast("string").alias("scale")).count().limit(params.max_pivot_cells + 1).collect()
+    wanted = {r["scale"]: (r["count"], min(params.pivots, max(1, r["count"] // (2 * params.block_rows)))) for r in counted}
+    if sum(number for _, number in wanted.values()) > params.max_pivot_cells:
+        raise ValueError("too many pivots over all scales; lower `pivots` or score scales apart")
+    return wanted
 
 
-def choose_pivots(d: DataFrame, params: NeighbourParams, number: int) -> Pivots:
-    """The `number` database vectors per scale that come first in hash order.
+def choose_pivots(d: DataFrame, params: NeighbourParams, wanted: dict[str, tuple[int, int]]) -> Pivots:
+    """The wanted number of database vectors per scale that come first in hash order.
 
-    At most scales x number rows reach the driver; more than `max_pivot_cells` is refused.
+    A hash threshold thins each scale to a few times the number of pivots before anything is
+    sorted; at most `max_pivot_cells` rows reach the driver.
     """
-    first = W.partitionBy("scale").orderBy(F.xxhash64("d_vec", F.lit(params.seed)), "d_vec")
+    span = 1 << 40
+    draw = F.pmod(F.xxhash64("d_vec", F.lit(params.seed)), F.lit(span))
+    limits = F.create_map(*[
+        F.lit(v) for scale, (rows, number) in wanted.items()
+        for v in (scale, span if rows <= 64 * number else int(span * 16 * number / rows))
+    ])
+    numbers = F.create_map(*[F.lit(v) for scale, (_, number) in wanted.items() for v in (scale, number)])
+    named = d.select(F.col("scale").cast("string").alias("scale"), "vec", "d_vec", draw.alias("_draw"))
+    thinned = named.filter(F.col("_draw") < limits[F.col("scale")])
+    first = W.partitionBy("scale").orderBy("_draw", "d_vec")
     picked = (
-        d.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= number)
-        .select(F.col("scale").cast("string").alias("scale"), "vec")
-        .limit(params.max_pivot_cells + 1)
-        .toPandas()
+        thinned.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= params.pivots)
+        .filter(F.col("_place") <= numbers[F.col("scale")]).select("scale", "vec").toPandas()
     )
-    if len(picked) > params.max_pivot_cells:
-        raise ValueError("too many scales for this number of pivots; lower `pivots` or score scales apart")
     return Pivots({s: np.stack(g["vec"].to_numpy()) for s, g in picked.groupby("scale")})
 
 
@@ -222,10 +234,12 @@ def exact_neighbours(
     A collection too small to fill `min_pivots` cells is searched block by block at once.
     """
     q, d = _renamed(queries, database)
-    number = pivots_per_scale(d, params)
-    if number < params.min_pivots:
+    wanted = pivots_wanted(d, params)
+    if max((number for _, number in wanted.values()), default=0) < params.min_pivots:
+        return blocked_neighbours(queries, database, count, params)
+    pivots = choose_pivots(d, params, wanted)
+    if pivots.vectors.keys() != wanted.keys():
         return blocked_neighbours(queries, database, count, params)
-    pivots = choose_pivots(d, params, number)
     assigned = T.StructType([*d.schema.fields, T.StructField("cell", T.IntegerType()),
                              T.StructField("far", T.DoubleType())])
     arrow_d = to_arrow_schema(assigned)

@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from resight.functions import text
 from resight.operators import series as S
+from resight.operators.tiles import tile_of
+
+
+def _parts(spark: SparkSession, *keys: Column) -> Column:
+    """Part number of a row; as many parts as the session has shuffle partitions."""
+    return F.pmod(F.xxhash64(*keys), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def write_scales(series: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder per scale. A failed contour keeps a row with a null value.
 
-    Rows are laid out by (scale, part of the contour id): each folder gets several files and a
-    scale that holds most rows is not written by one task.
+    Rows are laid out by (scale, contour tile): each folder gets several files, and neither a scale
+    nor a contour that holds most rows is written by one task.
     """
     keyed = series.withColumn("scale_key", text.scale_key(F.col("scale"))).drop("scale")
-    part = F.pmod(F.xxhash64("contour_id"), F.lit(64))
+    part = _parts(series.sparkSession, F.col("contour_id"), tile_of(F.coalesce("idx", F.lit(0))))
     keyed.repartition(F.col("scale_key"), part).write.mode(mode).partitionBy("scale_key").parquet(path)
 
 
@@ -35,7 +41,7 @@ def read_scales(
 
 def write_vectors(vectors: DataFrame, path: str, mode: str = "errorifexists") -> None:
     keyed = vectors.withColumn("scale_key", F.col("scale").cast("string")).drop("scale")
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(256))
+    part = _parts(vectors.sparkSession, F.col("vec_id"))
     keyed.repartition(F.col("scale_key"), part).write.mode(mode).partitionBy("scale_key").parquet(path)
 
 

@@ -1,5 +1,6 @@
 """Plain NumPy statements of the rules, used as a second opinion."""
 
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -33,42 +34,38 @@ def dog(xy, steps, m, s):
 
 
 def curvature(contour, radii):
-    out = np.full((len(contour), len(radii)), np.nan)
-    for i, centre in enumerate(contour):
-        d = ((contour - centre) ** 2).sum(1)
-        for j, r in enumerate(radii):
-            inside = contour[d <= r * r]
-            if len(inside) == 1:
-                out[i, j] = 0.5
-                continue
-            chord = inside[-1] - inside[0]
-            th = np.arctan2(chord[1], chord[0])
-            turn = np.array([[np.cos(th), np.sin(th)], [-np.sin(th), np.cos(th)]])
-            q = (inside - centre) @ turn.T
-            area = np.trapezoid(q[:, 1] + r, q[:, 0])
-            out[i, j] = area / ((min(q[:, 0].max(), r) - max(q[:, 0].min(), -r)) * 2 * r)
+    """Points as complex numbers: turning by the chord is one multiplication."""
+    z = contour[:, 0] + 1j * contour[:, 1]
+    out = np.full((len(z), len(radii)), np.nan)
+    for j, r in enumerate(radii):
+        for i, c in enumerate(z):
+            near = z[np.abs(z - c) ** 2 <= r * r] - c
+            turned = near * np.exp(-1j * np.angle(near[-1] - near[0]))
+            x, y = turned.real, turned.imag
+            below = (np.diff(x) * (y[1:] + y[:-1] + 2 * r) / 2).sum()
+            width = min(x.max(), r) - max(x.min(), -r)
+            out[i, j] = 0.5 if len(near) == 1 else below / (width * 2 * r)
     return out
 
 
+def keypoints(smoothed, p):
+    """Positions by rank; whatever is outermost, an end or an extremum beside it, ranks above all."""
+    high, low = ([i for i, hit in enumerate(flags) if hit] for flags in extrema(smoothed, p.extremum_order))
+    if not high and not low:
+        return []
+    first, last = min(high or low), max(low or high)
+    rank = {i: abs(smoothed[i] - 0.5) for i in high + low}
+    rank[0 if first > 1 else first] = np.inf
+    rank[p.length - 1 if last < p.length - 2 else last] = np.inf
+    return sorted(sorted(rank, key=lambda i: (-rank[i], i))[: p.num_keypoints])
+
+
 def descriptors(v, p):
     raw = resample(v, p.length)
-    s, n = smooth(raw, p.smooth_sigma), p.length
-    high, low = extrema(s, p.extremum_order)
-    spots = np.array([i for i in range(n) if high[i]] + [i for i in range(n) if low[i]])
-    if not len(spots):
-        return {}
-    if spots[0] > 1:
-        spots = np.hstack((0, spots))
-    if spots[-1] < n - 2:
-        spots = np.hstack((spots, n - 1))
-    strength = np.abs(s[spots] - 0.5)
-    strength[[0, -1]] = np.inf
-    order = sorted(range(len(spots)), key=lambda i: (-strength[i], spots[i]))
-    spots = np.sort(spots[order][: p.num_keypoints])
     out = {}
-    for a, b in combinations(spots, 2):
-        f = resample(raw[a:b + 1], p.feat_dim)
-        out[a, b] = f / np.linalg.norm(f)
+    for a, b in combinations(keypoints(smooth(raw, p.smooth_sigma), p), 2):
+        piece = resample(raw[a:b + 1], p.feat_dim)
+        out[a, b] = piece / np.sqrt(piece @ piece)
     return out
 
 
@@ -91,19 +88,22 @@ def gauss_descriptors(xy, p):
 
 
 def warp(a, b, weights, window, kind):
-    """Series are (length, channels)."""
-    m = len(a)
-    grid = np.full((m, m), np.inf)
-    grid[0, 0] = 0.0
-    for i in range(1, m):
-        for j in range(max(1, i - window), min(m, i + window)):
-            gap = (a[i] - b[j]) ** 2
-            if kind == "chi_square":
-                c = (gap / (np.abs(a[i] - 0.5) + np.abs(b[j] - 0.5) + 1e-6)).sum()
-            else:
-                c = np.sqrt(gap.sum())
-            grid[i, j] = weights[i] * weights[j] * c + min(grid[i, j - 1], grid[i - 1, j], grid[i - 1, j - 1])
-    return grid[-1, -1]
+    """Cheapest path by recursion over its last step; series are (length, channels)."""
+
+    @cache
+    def cheapest(i, j):
+        if i == j == 0:
+            return 0.0
+        if i < 1 or j < 1 or not i - window <= j < i + window:
+            return np.inf
+        gap = (a[i] - b[j]) ** 2
+        if kind == "chi_square":
+            step = sum(g / (abs(x - 0.5) + abs(y - 0.5) + 1e-6) for g, x, y in zip(gap, a[i], b[j]))
+        else:
+            step = gap.sum() ** 0.5
+        return weights[i] * weights[j] * step + min(cheapest(i - 1, j - 1), cheapest(i - 1, j), cheapest(i, j - 1))
+
+    return cheapest(len(a) - 1, len(b) - 1)
 
 
 def chains(peaks):
