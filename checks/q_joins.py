@@ -38,7 +38,7 @@ KNN_SQL = f"""WITH {KNN} SELECT query_id, scale, q_vec, d_vec, target, round(dis
 
 @query("c3_knn_exact", KNN_SQL)
 def _(t):
-    return _shown(_neighbours(t, "exact", NeighbourParams(block_rows=64, pivots=32)))
+    return _shown(_neighbours(t, "exact", NeighbourParams(block_rows=64, db_block_rows=128, pivots=32)))
 
 
 @query("c3_knn_blocked", KNN_SQL)

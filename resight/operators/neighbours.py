@@ -42,26 +42,49 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0.0)
 
 
-def nearest_in_block(queries: np.ndarray, items: np.ndarray, ids: np.ndarray, count: int):
+def _upper_bound(rough: np.ndarray, count: int, folds: int = 16) -> np.ndarray:
+    """Per row a value that at least `count` entries do not exceed.
+
+    Columns are folded onto each other by minimum first: the count-th smallest of the folded
+    row belongs to count different columns, and only a narrow matrix has to be partitioned.
+    """
+    width = rough.shape[1] // folds
+    if width < 2 * count:
+        return np.partition(rough, count - 1, axis=1)[:, count - 1]
+    folded = rough[:, :width].copy()
+    for k in range(1, folds):
+        np.minimum(folded, rough[:, k * width:(k + 1) * width], out=folded)
+    return np.partition(folded, count - 1, axis=1)[:, count - 1]
+
+
+def nearest_in_block(queries: np.ndarray, items: np.ndarray, ids: np.ndarray, count: int, width: int = 1024):
     """(query row, item row, distance) of the `count` nearest items by (distance, id).
 
-    A matrix product makes a safe shortlist; the shortlist is measured again by plain
-    differences, so equal vectors are at equal distance in every block.
+    Items are taken `width` at a time. A single-precision matrix product (squared distance less
+    the query's own square) makes a shortlist against the best bound so far, widened by the
+    rounding error such a product can have; the shortlist is measured again in double precision
+    by plain differences, so equal vectors are at equal distance in every block.
     """
-    rough = _squared(queries, items)
-    if items.shape[0] > count:
-        bound = np.partition(rough, count - 1, axis=1)[:, count - 1]
-        slack = 1e-9 * (1.0 + (queries * queries).sum(axis=1) + (items * items).sum(axis=1).max())
-        rows, cols = np.nonzero(rough <= (bound + slack)[:, None])
-    else:
-        rows, cols = (g.ravel() for g in np.indices(rough.shape))
+    own, squares = (queries * queries).sum(axis=1), (items * items).sum(axis=1)
+    # Values whose squares single precision cannot hold are multiplied in double precision.
+    kind = np.float32 if max(own.max(initial=0.0), squares.max(initial=0.0)) < 1e30 else np.float64
+    slack = 4.0 * (queries.shape[1] + 4) * np.finfo(kind).eps * (own + squares.max(initial=0.0)) + 1e-30
+    rounded, bound, hits = queries.astype(kind), np.full(len(queries), np.inf), []
+    for low in range(0, len(items), width):
+        part = (-2.0 * items[low:low + width].T).astype(kind)
+        rough = rounded @ part
+        rough += squares[low:low + width].astype(kind)
+        if part.shape[1] >= count:
+            bound = np.minimum(bound, _upper_bound(rough, count))
+        row, col = np.divmod(np.flatnonzero(rough <= (bound + slack).astype(kind)[:, None]), part.shape[1])
+        hits.append((row, col + low))
+    rows, cols = (np.concatenate(side) for side in zip(*hits))
     diff = queries[rows] - items[cols]
     dist = np.sqrt((diff * diff).sum(axis=1))
     order = np.lexsort((ids[cols], dist, rows))
     rows, cols, dist = rows[order], cols[order], dist[order]
-    start = np.r_[0, np.nonzero(np.diff(rows))[0] + 1] if len(rows) else np.zeros(0, int)
-    place = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
-    keep = place < count
+    start = np.searchsorted(rows, rows, side="left")
+    keep = np.arange(len(rows)) - start < count
     return rows[keep], cols[keep], dist[keep]
 
 
@@ -116,9 +139,9 @@ def keep_nearest(found: DataFrame, count: int) -> DataFrame:
 
 def _join_blocks(q: DataFrame, d: DataFrame, keys: list[str], count: int, params: NeighbourParams) -> DataFrame:
     large_q = blocks.large_keys(q, keys, params.block_rows)
-    large_d = blocks.large_keys(d, keys, params.block_rows)
+    large_d = blocks.large_keys(d, keys, params.db_block_rows)
     q_blocks = blocks.pack(q, keys, "q_vec", ["query_id", "q_vec", "vec"], params.block_rows, large_q)
-    d_blocks = blocks.pack(d, keys, "d_vec", ["d_vec", "target", "vec"], params.block_rows, large_d)
+    d_blocks = blocks.pack(d, keys, "d_vec", ["d_vec", "target", "vec"], params.db_block_rows, large_d)
     met = blocks.meet(
         q_blocks.withColumnRenamed("_items", "_q"), d_blocks.withColumnRenamed("_items", "_d"),
         keys, large_q, large_d, params.blocks_per_salt,

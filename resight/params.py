@@ -76,7 +76,9 @@ class NeighbourParams:
     """How vectors are cut into bounded blocks before distances are taken."""
 
     block_rows: int = 1024
-    blocks_per_salt: int = 8
+    # A database block is larger: one meeting returns `count` rows per query whatever its size.
+    db_block_rows: int = 8192
+    blocks_per_salt: int = 4
     min_pivots: int = 4
     pivots: int = 512
     max_pivot_cells: int = 20_000

@@ -9,7 +9,7 @@ from resight.operators import evidence, linking, neighbours, ranking, warping
 from resight.params import LnbnnParams, NeighbourParams, WarpParams
 from resight.plans import evaluation, scoring
 
-TIGHT = NeighbourParams(block_rows=16, blocks_per_salt=2, pivots=24, min_pivots=2)
+TIGHT = NeighbourParams(block_rows=16, db_block_rows=32, blocks_per_salt=2, pivots=24, min_pivots=2)
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_equal_vectors_go_by_id(spark):
     d = spark.createDataFrame(rows, "scale int, vec_id long, vec array<double>, target long")
     q = d.select("scale", "vec_id", "vec", F.col("vec_id").alias("query_id"))
     for method in ("exact", "blocked"):
-        got = neighbours.neighbours(q, d, 3, method, NeighbourParams(block_rows=4, pivots=8, min_pivots=2))
+        got = neighbours.neighbours(q, d, 3, method, NeighbourParams(block_rows=4, db_block_rows=8, pivots=8, min_pivots=2))
         near = {r.q_vec: r.n for r in got.groupBy("q_vec").agg(F.sort_array(F.collect_list("d_vec")).alias("n")).collect()}
         assert near[17] == [0, 1, 2] and near[59] == [40, 41, 42]
 
@@ -208,3 +208,15 @@ def test_sparse_scores_rank_like_dense(spark):
     a = sorted(ranking.true_ranks(full, truth, ["query_id"]).collect())
     b = sorted(ranking.true_ranks(full.filter("score < 0"), truth, ["query_id"], database).collect())
     assert a == b
+
+
+@pytest.mark.parametrize("size", [1.0, 1e-6, 1e6, 1e20])
+def test_block_kernel_at_any_magnitude(size):
+    rng = np.random.default_rng(10)
+    q, x = rng.normal(size=(40, 12)) * size, rng.normal(size=(700, 12)) * size
+    x[100:130] = x[5]
+    q[:5] = x[5]
+    rows, cols, dist = neighbours.nearest_in_block(q, x, np.arange(700), 3, width=128)
+    exact = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    assert np.array_equal(cols.reshape(40, 3), np.argsort(exact, axis=1, kind="stable")[:, :3])
+    assert np.allclose(dist, exact[rows, cols])
