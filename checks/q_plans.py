@@ -28,7 +28,8 @@ sc AS (SELECT query_id, target_id, sum(score) AS score FROM ev GROUP BY 1, 2 HAV
 
 
 def split_vectors(t):
-    both = I.vectors(t).join(I.role_split(t), "owner")
+    # A search reads its inputs several times; stored vectors are the usual case.
+    both = cut(I.vectors(t).join(I.role_split(t), "owner"), "vectors")
     return both.filter("role = 'query'").drop("role"), both.filter("role = 'db'").drop("role")
 
 
