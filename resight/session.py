@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,14 +28,14 @@ def build_session(app: str = "resight", master: str | None = None, **conf) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only in local mode."""
+    """The shared folder the cluster names; a temporary one only where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     fallback = tempfile.mkdtemp(prefix="resight-")
     spark.sparkContext.setCheckpointDir(fallback)
@@ -46,6 +47,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/resight-{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote, once nothing that reads them is still to run."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    own = shared_dir(spark).rstrip("/").removeprefix("file://").removeprefix("file:")
+    for folder in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
+        if f"{own}/resight-" in folder:
+            place = hadoop(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut lineage with a table written to the shared folder.
 
