@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import bpe, hosts, sharding, urls
+from resight.llm import bpe, hosts, packing, rollups, sharding, topk, urls
 from resight.llm.common import table
+from resight.session import cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_sum_of_squares")
+def op1_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+@query("op3_branch_and_bound")
+def op3_branch_and_bound(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
 @query("op5_host_rules")
 def op5_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = hosts.judge_documents(table(spark, folder, "documents"))
@@ -47,6 +60,30 @@ def digest_row(ids: list[int], decoded: bytes) -> dict:
             "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
 
 
+@query("op8_token_rollups")
+def op8_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after every document was inserted, those not in English recounted with the multilingual vocabulary, that
+    batch sent again, and later copies of a text deleted as they were last counted."""
+    versions = {v: public_tokenizers.path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    counted = cut(rollups.count_tokens(table(spark, folder, "documents").select("doc_id", "source", "lang", "text"),
+                                       versions, public_tokenizers.PATTERN), "counts")
+
+    def under(rows: DataFrame, version: str) -> DataFrame:
+        return rows.withColumns({"tokenizer": F.lit(version), "tokens": F.col(f"tokens_{version}")})
+
+    first, second = versions
+    foreign = F.coalesce(F.col("lang") != "en", F.lit(True))
+    total = rollups.Rollup(spark, scratch_path(spark, "rollup"))
+    total.commit("load", rollups.inserted(under(counted, first)))
+    recount = rollups.revised(under(counted.where(foreign), first), under(counted.where(foreign), second))
+    total.commit("recount", recount)
+    total.commit("recount", recount)
+    copies = rollups.repeated_texts(counted)
+    total.commit("copies", rollups.deleted(
+        under(copies.where(~foreign), first).unionAll(under(copies.where(foreign), second))))
+    return total.totals()
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(
