@@ -6,7 +6,9 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -38,5 +40,26 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text or binary column without nulls, end to end, and where each row starts (and the last ends)."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = column.buffers()[2]
+    data = np.frombuffer(held, dtype=np.uint8) if held is not None else np.empty(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values so that every bit depends on every other (a public finalizer of xor-shifts and products)."""
+    values = values ^ (values >> np.uint64(30))
+    values = values * np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(27)
+    values *= np.uint64(0x94D049BB133111EB)
+    values ^= values >> np.uint64(31)
+    return values
+
+
+def drawn(seed: int, n: int) -> np.ndarray:
+    """`n` fixed 64-bit numbers."""
+    return mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import bpe, hosts, packing, rollups, sharding, topk, urls
+from resight.llm import bpe, hosts, neardup, packing, rollups, sharding, topk, urls
 from resight.llm.common import table
 from resight.session import cut, scratch_path
 
@@ -39,6 +39,11 @@ def op3_branch_and_bound(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
 
 
+@query("op4_odd_sketches")
+def op4_odd_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_host_rules")
 def op5_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = hosts.judge_documents(table(spark, folder, "documents"))
