@@ -1,17 +1,18 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation, components.
 
-MinHash samples of a document's shingles give its bands and are folded into an odd sketch. Documents that share a band
-are candidates; the number of bits in which their sketches differ estimates how many samples differ, and pairs far below
-the wanted similarity go no further. The rest is confirmed on full shingle sets.
+MinHash samples of a document's shingles give its bands. More samples, one for each part of the hash range, are folded
+into a bitmap of parities, an odd sketch: the number of bits in which two sketches differ tells how many samples differ.
+Documents that share a band are candidates; pairs that their sketches put far below the wanted similarity go no further,
+and the rest is confirmed on full shingle sets.
 
 Groups may hold any share of the documents, so pairs are not listed. Documents with equal sets are one node. In each
-band bucket every node first meets the smallest one only; components of the links found show which buckets still hold
-several components, and only in those do nodes of different components meet, in bounded blocks.
+band bucket every node first meets the smallest one only. Components of the links found show which buckets still hold
+several components; there, within bounded parts, only the likeliest pairs that would join components are tried next. At
+last, nodes of components that are still apart meet in every bucket they share, part by part, so that no link is lost.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from resight.llm.common import flat_bytes, small_batches
 from resight.llm.components import connected_components
-from resight.llm.shingles import WORDS, band_keys, minhash, odd_sketch, shingle_sets
+from resight.llm.shingles import WORDS, band_keys, minhash, odd_sketches, shingle_sets
 from resight.session import cut, discard
 
 
@@ -34,15 +35,17 @@ class NearDupParams:
     #: 32 bands of 4: a pair of similarity 0.75 shares none with probability 5e-6.
     samples: int = 128
     rows: int = 4
-    bits: int = 512
-    #: Pairs estimated below this are dropped; more than six standard errors below 0.75.
-    least_estimate: float = 0.45
+    #: Samples and bits of the odd sketch. At 0.75 its standard error is 0.021.
+    bins: int = 512
+    bits: int = 2048
+    #: Pairs estimated below this are dropped: more than 5.5 standard errors below 0.75.
+    least_estimate: float = 0.63
     #: Members of a bucket or of one document's pairs that meet in one task.
     block: int = 256
 
 
 def signatures(df: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_key, sketch, bands of every row; no key, sketch or bands for an empty set."""
+    """id, n_shingles, set_key, sketch (parities, then filled bins), bands of every row; only id and 0 for an empty set."""
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
@@ -56,6 +59,8 @@ def signatures(df: DataFrame, params: NearDupParams, id_col: str, text_col: str)
                 samples[at] = minhash(sets[at], params.samples)
             keys = [None if not len(s) else xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
 
+            sketch = np.concatenate(odd_sketches(sets, params.bins, params.bits), axis=1)
+
             def lists(values: np.ndarray) -> pa.Array:
                 offsets = np.arange(len(sets) + 1, dtype=np.int32) * values.shape[1]
                 flat = pa.array(values.view(np.int64).ravel())
@@ -63,28 +68,34 @@ def signatures(df: DataFrame, params: NearDupParams, id_col: str, text_col: str)
 
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 lists(odd_sketch(samples, params.bits)), lists(band_keys(samples, params.rows))],
+                 lists(sketch), lists(band_keys(samples, params.rows))],
                 names=["id", "n_shingles", "set_key", "sketch", "bands"])
 
     return slim.mapInArrow(work, f"id {kind}, n_shingles bigint, set_key binary, sketch array<bigint>, bands array<bigint>")
 
 
-def differing_bits(left: Column, right: Column) -> Column:
-    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0),
-                       lambda total, bits: total + bits)
+def estimate(pop_odd, pop_left, pop_right, pop_either, params: NearDupParams):
+    """Similarity from differing parities, filled bins of each side and of either; below 0 where nothing can be told."""
+    room = np.maximum(1 - 2 * pop_odd / params.bits, 1e-9)
+    differing = -params.bits / 2 * np.log(room)
+    return (pop_left + pop_right - differing) / 2 / np.maximum(pop_either, 1)
 
 
-def most_bits(params: NearDupParams) -> int:
-    """The differing bits at which the estimate 1 + bits / (4 samples) * ln(1 - 2 differing / bits) is the least allowed."""
-    return math.floor(params.bits / 2 * (1 - math.exp(4 * params.samples / params.bits * (params.least_estimate - 1))))
+def _bits(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda total, word: total + F.bit_count(word).cast("int"))
 
 
 def close_pairs(pairs: DataFrame, nodes: DataFrame, params: NearDupParams) -> DataFrame:
-    """The pairs (a, b) whose sketches differ in few bits."""
+    """The pairs (a, b) of at least the least estimate. The formula is that of `estimate`, in columns."""
+    odd, bins = params.bits // 64, params.bins // 64
     left = nodes.select(F.col("id").alias("a"), F.col("sketch").alias("_l"))
     right = nodes.select(F.col("id").alias("b"), F.col("sketch").alias("_r"))
     met = pairs.join(left, "a").join(right, "b")
-    return met.where(differing_bits(F.col("_l"), F.col("_r")) <= most_bits(params)).select("a", "b")
+    parity = _bits(F.zip_with(F.slice("_l", 1, odd), F.slice("_r", 1, odd), lambda x, y: x.bitwiseXOR(y)))
+    either = _bits(F.zip_with(F.slice("_l", odd + 1, bins), F.slice("_r", odd + 1, bins), lambda x, y: x.bitwiseOR(y)))
+    filled = _bits(F.slice("_l", odd + 1, bins)) + _bits(F.slice("_r", odd + 1, bins))
+    differing = F.log(F.greatest(1 - 2 * parity / params.bits, F.lit(1e-9))) * (-params.bits / 2)
+    return met.where((filled - differing) / 2 / F.greatest(either, F.lit(1)) >= params.least_estimate).select("a", "b")
 
 
 def confirm(pairs: DataFrame, df: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
@@ -129,62 +140,107 @@ def confirm(pairs: DataFrame, df: DataFrame, params: NearDupParams, id_col: str,
     return both.mapInArrow(work, f"a {kind}, b {kind}").distinct()
 
 
-def cross_pairs(members: DataFrame, params: NearDupParams) -> DataFrame:
-    """Pairs of close sketches among the rows (key, _n, id, component, sketch) of a bucket, of different components.
+def cell_pairs(
+    ids: np.ndarray, component: np.ndarray, upper: np.ndarray, sketch: np.ndarray, bands: np.ndarray, key: int,
+    apart: bool, likely: bool, params: NearDupParams,
+) -> list[tuple]:
+    """Close pairs across components in one cell; with `likely`, only those that join its components, the closest first.
 
-    A bucket of n rows is dealt into ceil(n / block) parts; any two parts meet in one cell, compared bit by bit in arrays.
+    A pair that shares several buckets belongs to the first of them.
+    """
+    odd = params.bits // 64
+    filled = np.bitwise_count(sketch[:, odd:]).sum(axis=1, dtype=np.int64)
+    out = []
+    for at in range(len(ids) - 1):
+        other = component[at + 1 :] != component[at]
+        if apart:  # two parts: pairs within one of them meet elsewhere
+            other &= upper[at + 1 :] != upper[at]
+        near = np.flatnonzero(other) + at + 1
+        if not near.size:
+            continue
+        parity = np.bitwise_count(sketch[near, :odd] ^ sketch[at, :odd]).sum(axis=1, dtype=np.int64)
+        either = np.bitwise_count(sketch[near, odd:] | sketch[at, odd:]).sum(axis=1, dtype=np.int64)
+        guess = estimate(parity, filled[near], filled[at], either, params)
+        good = guess >= (params.percent / 100 if likely else params.least_estimate)
+        near, guess = near[good], guess[good]
+        if near.size and not likely:
+            shared = bands[near] == bands[at]
+            near = near[bands[at][shared.argmax(axis=1)] == key]
+        out += [(g, at, k) for g, k in zip(guess.tolist(), near.tolist())]
+    if likely:
+        root = {c: c for c in component.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        joining = []
+        for g, x, y in sorted(out, reverse=True):
+            left, right = find(component[x]), find(component[y])
+            if left != right:
+                root[left] = right
+                joining.append((g, x, y))
+        out = joining
+    return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for _, x, y in out]
+
+
+def cross_pairs(members: DataFrame, params: NearDupParams, likely: bool) -> DataFrame:
+    """Pairs across components among the rows (key, _n, id, component, sketch, bands) of every bucket, each once.
+
+    A bucket of n rows is dealt into ceil(n / block) parts; any two parts meet in one cell. With `likely` each part
+    stays by itself and gives fewer pairs than it has rows.
     """
     parts = F.ceil(F.col("_n") / params.block).cast("int")
     own = members.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-    cells = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
-        "key", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "id", "component", "sketch",
-        (F.col("_own") > F.col("_other")).alias("_upper"))
+    others = F.array("_own") if likely else F.sequence(F.lit(0), F.col("_parts") - 1)
+    cells = own.withColumn("_other", F.explode(others)).select(
+        "key", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "id", "component",
+        "sketch", "bands", (F.col("_own") > F.col("_other")).alias("_upper"))
     dealt = cells.repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi")
-    kind, words, limit = members.schema["id"].dataType.simpleString(), params.bits // 64, most_bits(params)
-
-    def cell(ids: np.ndarray, component: np.ndarray, upper: np.ndarray, sketch: np.ndarray, apart: bool) -> list[tuple]:
-        out = []
-        for at in range(len(ids) - 1):
-            rest = slice(at + 1, None)
-            other = component[rest] != component[at]
-            if apart:  # two parts: pairs within one of them meet elsewhere
-                other &= upper[rest] != upper[at]
-            near = np.flatnonzero(other)
-            if near.size:
-                bits = np.bitwise_count(sketch[rest][near] ^ sketch[at]).sum(axis=1)
-                out += [(ids[at], ids[at + 1 + k]) for k in near[bits <= limit].tolist()]
-        return out
+    kind = members.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = None, []
 
-        def give(rows: list) -> pa.RecordBatch | None:
-            ids, component, upper, sketch = (np.concatenate(x) for x in zip(*rows))
-            pairs = cell(ids, component, upper, sketch, held[1] != held[2])
+        def give() -> Iterator[pa.RecordBatch]:
+            pairs = cell_pairs(*(np.concatenate(x) for x in zip(*waiting)), held[0], held[1] != held[2], likely, params)
             if pairs:
-                a, b = zip(*((min(p), max(p)) for p in pairs))
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            return None
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs)], names=["a", "b"])
+
+        def grid(column: pa.Array, rows: int) -> np.ndarray:
+            return column.flatten().to_numpy().reshape(rows, -1)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "_lo", "_hi")])
-            ids, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component"))
-            upper = batch.column("_upper").to_numpy(zero_copy_only=False)
-            sketch = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, words)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "_upper")]
+            columns += [grid(batch.column("sketch"), batch.num_rows).view(np.uint64), grid(batch.column("bands"), batch.num_rows)]
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 key = tuple(keys[:, begin].tolist())
                 if key != held:
-                    if waiting and (made := give(waiting)) is not None:
-                        yield made
+                    if waiting:
+                        yield from give()
                     held, waiting = key, []
-                waiting.append((ids[begin:end], component[begin:end], upper[begin:end], sketch[begin:end]))
-        if waiting and (made := give(waiting)) is not None:
-            yield made
-
-    return dealt.mapInArrow(work, f"a {kind}, b {kind}").distinct()
+                waiting.append(tuple(c[begin:end] for c in columns))
+        if waiting:
+            yield from give()
+
+    return dealt.mapInArrow(work, f"a {kind}, b {kind}")
+
+
+def open_members(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components of `links`, with their component, sketch and bands."""
+    groups = cut(connected_components(links), "components").select(F.col("node").alias("id"), F.col("component").alias("_c"))
+    named = cut(members.where("_n > 2").join(groups, "id", "left").select(
+        "key", "_n", "id", F.coalesce("_c", "id").alias("component")), "named")
+    ends = named.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
+    mixed = cut(ends.where(F.col("_least") != F.col("_most")).select("key"), "mixed")
+    out = cut(named.join(mixed, "key").join(nodes, "id"), "open")
+    discard(members.sparkSession, named, mixed)
+    return out
 
 
 def near_duplicates(
@@ -207,20 +263,17 @@ def near_duplicates(
     buckets = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("centre")).where("_n > 1"), "buckets")
     members = cut(banded.join(buckets, "key"), "members")
     pairs = members.where(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = cut(pairs, "pairs")
     links = cut(confirm(cut(close_pairs(pairs, nodes, params), "pairs"), df, params, id_col, text_col), "links")
+    tried = pairs
+    for likely in (True, False):
+        rest = open_members(members, nodes, links)
+        more = cut(cross_pairs(rest, params, likely).join(tried, ["a", "b"], "left_anti").distinct(), "pairs")
+        links = cut(links.unionAll(confirm(more, df, params, id_col, text_col)), "links")
+        tried = tried.unionAll(more)
+        discard(spark, rest)
     groups = cut(connected_components(links), "components")
 
-    # Buckets that still hold several components: all pairs across them, except those with the centre, which were judged.
-    named = members.join(groups.select(F.col("node").alias("id"), F.col("component").alias("_c")), "id", "left").select(
-        "key", "_n", "id", F.coalesce("_c", "id").alias("component"))
-    named = cut(named, "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
-    mixed = mixed.where((F.col("_least") != F.col("_most"))).select("key")
-    open_rows = named.where("_n > 2").join(mixed, "key").join(nodes.select("id", "sketch"), "id")
-    more = cut(cross_pairs(open_rows, params).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more_links = cut(confirm(more, df, params, id_col, text_col), "links")
-    groups = cut(connected_components(links.unionAll(more_links)), "components")
-
     by_set = sets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("_component"))
     by_set = cut(by_set, "by-set")
@@ -228,5 +281,5 @@ def near_duplicates(
     component = F.coalesce("_component", "id")
     out = own.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
                      F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
-    discard(spark, nodes, buckets, members, named, links, more_links)
+    discard(spark, nodes, buckets, members, links)
     return out

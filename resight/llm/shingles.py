@@ -81,10 +81,20 @@ def band_keys(samples: np.ndarray, rows: int) -> np.ndarray:
     return mixed(joined + np.arange(bands, dtype=np.uint64))
 
 
-def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
-    """Per document a bitmap with a bit for the parity of the samples that fall on it, as `bits` / 64 words."""
-    count, width = samples.shape
-    places = mixed(samples + drawn(6, width)) % np.uint64(bits)
-    flat = (np.arange(count, dtype=np.int64)[:, None] * bits + places.astype(np.int64)).ravel()
-    odd = (np.bincount(flat, minlength=count * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(count, bits), axis=1).view(np.uint64)
+def odd_sketches(sets: list[np.ndarray], bins: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per set a bitmap with a bit for the parity of the samples that fall on it, and the bitmap of filled bins.
+
+    The samples come from one permutation: the hash range is cut into `bins` (a power of two) and the least member of
+    each is a sample. Two sets have similarity J if a share J of the bins that either fills holds the same sample.
+    """
+    count, shift = len(sets), np.uint64(64 - (bins.bit_length() - 1))
+    flat = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
+    owner = np.repeat(np.arange(count), [len(s) for s in sets])
+    bin_of = owner * bins + (flat >> shift).astype(np.int64)
+    first = np.ones(len(flat), dtype=bool)
+    first[1:] = bin_of[1:] != bin_of[:-1]  # members are sorted, so the least of a bin comes first
+    places = owner[first] * bits + (mixed(flat[first]) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(places, minlength=count * bits) & 1).astype(np.uint8).reshape(count, bits)
+    filled = np.zeros(count * bins, dtype=np.uint8)
+    filled[bin_of[first]] = 1
+    return np.packbits(odd, axis=1).view(np.uint64), np.packbits(filled.reshape(count, bins), axis=1).view(np.uint64)
