@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import bpe, hosts, neardup, packing, rollups, sharding, topk, urls
+from resight.llm import bpe, hosts, neardup, packing, passages, rollups, sharding, topk, urls
 from resight.llm.common import table
 from resight.session import cut, scratch_path
 
@@ -34,6 +34,12 @@ def op1_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+@query("op2_suffix_arrays")
+def op2_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = passages.remove_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op3_branch_and_bound")
 def op3_branch_and_bound(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
