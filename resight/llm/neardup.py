@@ -5,8 +5,8 @@ into a bitmap of parities, an odd sketch: the number of bits in which two sketch
 Documents that share a band are candidates; pairs that their sketches put far below the wanted similarity go no further,
 and the rest is confirmed on full shingle sets.
 
-Groups may hold any share of the documents, so pairs are not listed. Documents with equal sets are one node. In each
-band bucket every node first meets the smallest one only. Components of the links found show which buckets still hold
+Groups may hold any share of the documents, so pairs are not listed. Documents with equal sets are one node. Every
+node first meets one other only, the smallest that shares a bucket with it. Components of the links found show which buckets still hold
 several components; there, within bounded parts, only the likeliest pairs that would join components are tried next. At
 last, nodes of components that are still apart meet in every bucket they share, part by part, so that no link is lost.
 """
@@ -262,7 +262,7 @@ def near_duplicates(
     banded = nodes.select("id", F.explode("bands").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("centre")).where("_n > 1"), "buckets")
     members = cut(banded.join(buckets, "key"), "members")
-    pairs = members.where(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = members.groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a")).where("a != b").select("a", "b")
     pairs = cut(pairs, "pairs")
     links = cut(confirm(cut(close_pairs(pairs, nodes, params), "pairs"), df, params, id_col, text_col), "links")
     tried = pairs

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from resight.llm.common import flat_bytes, small_batches
 from resight.llm.suffixes import found_in, repeated_starts
-from resight.session import cut, discard
+from resight.session import cut, cut_and_observe, discard
 
 GRAM = 64
 
@@ -131,17 +131,26 @@ def cut_out(texts: DataFrame, wanted: DataFrame, params: PassageParams) -> DataF
     return met.mapInArrow(work, "gram bigint, d1 bigint, d2 bigint, part binary")
 
 
-def shard_repeats(parts: DataFrame, params: PassageParams) -> DataFrame:
-    """Per stretch (gram, d1, d2) the starts that repeat in its shard, and of salted grams what others must know.
+RUN = ("h1", "h2", "d1", "d2", "start", "alone")
 
-    Rows: gram, d1, d2, start, n (a run of repeating starts), or with h1, h2 (the digest of one string of a salted gram,
-    `alone` where nothing in the shard equals it).
+
+def shard_repeats(parts: DataFrame, tasks: int, params: PassageParams) -> DataFrame:
+    """Per stretch (gram, d1, d2) the starts that repeat in its shard, and of salted grams what other shards must know.
+
+    Rows: gram, d1, d2, start, n (a run of repeating starts), or gram, bucket and a run: the digests of the shard's
+    different strings that fall into a bucket, in order, each with its stretch, start and whether it is alone. A gram has
+    four buckets for every shard, so what meets in a bucket is bounded as a shard is.
     """
 
+    def runs(gram: int, salts: int, strings: np.ndarray) -> Iterator[tuple]:
+        strings = strings[np.lexsort((strings[:, 1], strings[:, 0]))]
+        bucket = strings[:, 0] % (4 * salts)
+        for no in np.unique(bucket).tolist():
+            yield (gram, None, None, None, None, no, *strings[bucket == no].T.tolist())
+
     def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pieces = [r[4] for r in rows]
-        data = np.frombuffer(b"\xff".join(pieces), dtype=np.uint8)
-        size = np.array([len(p) for p in pieces])
+        data = np.frombuffer(b"\xff".join(r[4] for r in rows), dtype=np.uint8)
+        size = np.array([len(r[4]) for r in rows])
         begin = np.cumsum(size + 1) - size - 1
         count = size - params.width + 1
         owner = np.repeat(np.arange(len(rows)), count)
@@ -157,30 +166,31 @@ def shard_repeats(parts: DataFrame, params: PassageParams) -> DataFrame:
         first = np.flatnonzero(edge)
         length = np.diff(np.append(first, len(hit)))
         first, length = first[hit[first]], length[hit[first]]
-        out = [(*rows[o][:3], p, n, None, None, None) for o, p, n in
+        out = [(*rows[o][:3], p, n, *[None] * 7) for o, p, n in
                zip(owner[first].tolist(), place[first].tolist(), length.tolist())]
-        salted = np.array([r[3] for r in rows])[owner]
-        if salted.any():
-            view, told = memoryview(data.tobytes()), set()
-            for at in np.flatnonzero(salted).tolist():
-                name = int(names[where[at]])
-                if hit[at] and name in told:
-                    continue
-                told.add(name)
-                digest = xxhash.xxh3_128_digest(view[where[at] : where[at] + params.width], seed=1)
-                h1, h2 = np.frombuffer(digest, dtype=np.int64).tolist()
-                out.append((*rows[owner[at]][:3], int(place[at]), 1, h1, h2, not bool(hit[at])))
+        salts = np.array([r[3] for r in rows])[owner]
+        shared = np.flatnonzero(salts > 1)
+        if shared.size:
+            shared = shared[np.unique(names[where[shared]], return_index=True)[1]]  # each string once
+            view = memoryview(data.tobytes())
+            digests = b"".join(xxhash.xxh3_128_digest(view[at : at + params.width], seed=1) for at in where[shared].tolist())
+            keys = np.array([r[:3] for r in rows], dtype=np.int64)[owner[shared]]
+            strings = np.column_stack([np.frombuffer(digests, dtype=np.int64).reshape(-1, 2), keys[:, 1:], place[shared],
+                                       ~hit[shared]])
+            for gram in np.unique(keys[:, 0]).tolist():
+                mine = keys[:, 0] == gram
+                out += runs(gram, int(salts[shared][mine][0]), strings[mine])
         if out:
-            columns = list(zip(*out))
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["gram", "d1", "d2", "start", "n", "h1", "h2", "alone"])
+            lists = [pa.list_(pa.int64())] * len(RUN)
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), *lists]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                             names=["gram", "e1", "e2", "at", "n", "bucket", *RUN])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, bytes_held, seen = None, [], 0, set()
         for batch in small_batches(batches, "part"):
-            names = ("gram", "salt", "salted", "d1", "d2", "part")
-            for gram, salt, salted, d1, d2, part in zip(*(batch.column(c).to_pylist() for c in names)):
+            names = ("gram", "salt", "salts", "d1", "d2", "part")
+            for gram, salt, salts, d1, d2, part in zip(*(batch.column(c).to_pylist() for c in names)):
                 if (gram, salt) != held:
                     if bytes_held >= params.shard_bytes:
                         yield from block(waiting)
@@ -188,50 +198,50 @@ def shard_repeats(parts: DataFrame, params: PassageParams) -> DataFrame:
                     held, seen = (gram, salt), set()
                 if (d1, d2) not in seen:  # a text that stands several times gives its stretches several times
                     seen.add((d1, d2))
-                    waiting.append((gram, d1, d2, salted, part))
+                    waiting.append((gram, d1, d2, salts, part))
                     bytes_held += len(part)
         if waiting:
             yield from block(waiting)
 
-    ordered = parts.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-    return ordered.mapInArrow(
-        work, "gram bigint, d1 bigint, d2 bigint, start bigint, n int, h1 bigint, h2 bigint, alone boolean")
+    ordered = parts.repartition(tasks, "gram", "salt").sortWithinPartitions("gram", "salt")
+    return ordered.mapInArrow(work, "gram bigint, e1 bigint, e2 bigint, at bigint, n int, bucket int, "
+                                    + ", ".join(f"{c} array<bigint>" for c in RUN))
 
 
-def merged_repeats(strings: DataFrame) -> DataFrame:
-    """The lone strings (gram, d1, d2, start) that another shard holds too.
+def merged_repeats(runs: DataFrame, tasks: int) -> DataFrame:
+    """gram, e1, e2, at, n: the lone strings of shards that another shard of their gram holds too.
 
-    Strings are dealt by digest, so runs from all shards that may hold an equal one meet; each shard names a string
-    once, and one that is found more than once is in several shards.
+    The runs of one bucket meet, one from each shard; a shard names a string once, so a digest that a binary search over
+    all runs finds more than once is in several shards.
     """
-    dealt = strings.repartition("h1").sortWithinPartitions("h1", "h2")
+    dealt = runs.repartition(tasks, "gram", "bucket").sortWithinPartitions("gram", "bucket")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def give(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            pair = np.empty(table.num_rows, dtype=[("a", np.int64), ("b", np.int64)])
-            pair["a"], pair["b"] = table["h1"].to_numpy(), table["h2"].to_numpy()
-            run = np.cumsum(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
-            several = found_in(run, run) > 1
-            mask = pa.array(several & table["alone"].to_numpy(zero_copy_only=False))
-            yield from table.filter(mask).select(["gram", "d1", "d2", "start"]).combine_chunks().to_batches()
+        held, waiting = None, []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            if len(waiting) < 2:
+                return
+            h1, h2, d1, d2, start, alone = (np.concatenate(x) for x in zip(*waiting))
+            pair = np.empty(len(h1), dtype=[("a", np.int64), ("b", np.int64)])
+            pair["a"], pair["b"] = h1, h2
+            number = np.unique(pair, return_inverse=True)[1]
+            several = np.flatnonzero((found_in(np.sort(number), number) > 1) & (alone == 1))
+            if several.size:
+                columns = [np.full(several.size, held[0]), d1[several], d2[several], start[several]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.ones(several.size, dtype=np.int32))],
+                                                 names=["gram", "e1", "e2", "at", "n"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            last = held["h1"][-1].as_py()
-            # The last digest may go on in the next batch.
-            whole = int(np.searchsorted(held["h1"].to_numpy(), last, "left"))
-            if whole:
-                yield from give(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None:
-            yield from give(held)
+            for row in range(batch.num_rows):
+                key = (batch.column("gram")[row].as_py(), batch.column("bucket")[row].as_py())
+                if key != held:
+                    yield from give()
+                    held, waiting = key, []
+                waiting.append([batch.column(c)[row].values.to_numpy() for c in RUN])
+        yield from give()
 
-    return dealt.mapInArrow(work, "gram bigint, d1 bigint, d2 bigint, start bigint")
+    return dealt.mapInArrow(work, "gram bigint, e1 bigint, e2 bigint, at bigint, n int")
 
 
 def repeat_runs(texts: DataFrame, params: PassageParams) -> DataFrame:
@@ -252,15 +262,16 @@ def repeat_runs(texts: DataFrame, params: PassageParams) -> DataFrame:
     kinds = cut(kinds, "kinds")
     salts = kinds.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / params.shard_stretches).cast("int").alias("salts"))
     wanted = kinds.select("gram", "d1", "d2", "one.*")
-    parts = cut(cut_out(texts, wanted, params).join(salts, "gram").select(
-        "gram", "d1", "d2", "part", F.pmod(F.xxhash64("d1", "d2"), F.col("salts")).cast("int").alias("salt"),
-        (F.col("salts") > 1).alias("salted")), "parts")
-    repeats = cut(shard_repeats(parts, params), "repeats")
+    parts, seen = cut_and_observe(cut_out(texts, wanted, params).join(salts, "gram").select(
+        "gram", "d1", "d2", "part", F.pmod(F.xxhash64("d1", "d2"), F.col("salts")).cast("int").alias("salt"), "salts"),
+        "parts", F.coalesce(F.sum(F.octet_length("part")), F.lit(0)).alias("bytes"))
+    tasks = max(1, -(-seen["bytes"] // (4 * params.shard_bytes)))
+    repeats = cut(shard_repeats(parts, tasks, params), "repeats")
     discard(spark, parts)
-    elsewhere = merged_repeats(repeats.where("h1 IS NOT NULL").drop("n"))
-    runs = repeats.where("h1 IS NULL").select("gram", "d1", "d2", "start", "n").unionAll(
-        elsewhere.select("gram", "d1", "d2", "start", F.lit(1).alias("n")))
-    runs = cut(runs.select("gram", "d1", "d2", F.col("start").alias("_from"), F.col("n").alias("_n")), "runs")
+    elsewhere = merged_repeats(repeats.where("bucket IS NOT NULL").select("gram", "bucket", *RUN), tasks)
+    runs = repeats.where("bucket IS NULL").select("gram", "e1", "e2", "at", "n").unionAll(elsewhere)
+    runs = cut(runs.select("gram", F.col("e1").alias("d1"), F.col("e2").alias("d2"), F.col("at").alias("_from"),
+                           F.col("n").alias("_n")), "runs")
 
     # A stretch that occurs as a whole more than once repeats from end to end; others where their shard says so.
     contested = often.where("mixed").drop("mixed")

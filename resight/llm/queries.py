@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import bpe, hosts, neardup, packing, passages, rollups, sharding, topk, urls
+from resight.llm import bpe, hosts, lines, neardup, packing, passages, rollups, sharding, topk, urls
 from resight.llm.common import table
 from resight.session import cut, scratch_path
 
@@ -100,3 +100,8 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
         row=digest_row, fields="n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+@query("op10_fuzzy_lines")
+def op10_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_groups(table(spark, folder, "documents"))
