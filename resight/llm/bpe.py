@@ -18,6 +18,8 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from resight.llm.common import small_batches, worker_store
 
@@ -256,15 +258,13 @@ def encode_documents(
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, {fields}"
+    target = to_arrow_schema(StructType.fromDDL(fields))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = None
         for batch in small_batches(batches, "text"):
             encoder = worker_encoder(path, pattern)
             rows = [row(ids, encoder.decode(ids)) for ids in encoder.encode(batch.column("text").to_pylist())]
-            made = pa.Table.from_pylist(rows) if target is None else pa.Table.from_pylist(rows, schema=target)
-            if target is None:
-                target = pa.schema([(f.name, pa.binary() if f.type == pa.null() else f.type) for f in made.schema])
+            made = pa.Table.from_pylist(rows, schema=target)
             columns = [batch.column("id"), *(c.combine_chunks() for c in made.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *made.column_names])
 

@@ -147,4 +147,4 @@ def keep_documents(df: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
             bad = (n_words < rules.min_words) | (100 * repeats > rules.max_repeat_percent * n_words)
             yield batch.filter(pa.array(~bad))
 
-    return df.mapInArrow(work, df.schema).join(hosts, F.col("source") == F.col("_host"), "left_anti")
+    return df.mapInArrow(work, df.schema).join(hosts, F.col("source") == hosts["_host"], "left_anti")

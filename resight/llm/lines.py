@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -274,10 +275,19 @@ def drop_lines(df: DataFrame, params: LineParams = LineParams(), id_col: str = "
     """
     gone = line_groups(df, params, id_col, text_col).where("NOT kept")
     lists = gone.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    met = df.join(cut(lists, "gone").hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    numbered = F.transform(F.split(text_col, "\n", -1), lambda line, no: F.struct(no.alias("no"), line.alias("line")))
-    # One pass with a map of the lines to drop; sets of numbers would be searched line by line.
-    dropped = F.map_from_arrays("_gone", F.transform("_gone", lambda no: F.lit(True)))
-    left = F.filter(numbered, lambda x: F.element_at(F.col("_map"), x["no"]).isNull())
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
-    return met.withColumn("_map", dropped).withColumn(text_col, text).select(*df.columns)
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    lists = cut(lists, "gone").hint("merge")
+    met = packed.join(lists, packed["row"][id_col].eqNullSafe(lists["_id"]), "left")
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for text, numbers in zip(texts, gone):
+            if text is not None and numbers is not None:
+                drop = set(numbers.tolist())
+                text = "\n".join(line for no, line in enumerate(text.split("\n")) if no not in drop)
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    text = F.when(F.col("_gone").isNull(), F.col("row")[text_col]).otherwise(rest(F.col("row")[text_col], F.col("_gone")))
+    return met.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns))

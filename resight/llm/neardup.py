@@ -45,7 +45,7 @@ class NearDupParams:
 
 
 def signatures(df: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_key, sketch (parities, then filled bins), bands of every row; only id and 0 for an empty set."""
+    """id, n_shingles, set_key, sketch (parities, then filled bins), bands of every row; no key and empty lists for an empty set."""
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
@@ -62,9 +62,8 @@ def signatures(df: DataFrame, params: NearDupParams, id_col: str, text_col: str)
             sketch = np.concatenate(odd_sketches(sets, params.bins, params.bits), axis=1)
 
             def lists(values: np.ndarray) -> pa.Array:
-                offsets = np.arange(len(sets) + 1, dtype=np.int32) * values.shape[1]
-                flat = pa.array(values.view(np.int64).ravel())
-                return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(empty, False)), flat)
+                ends = np.append(0, np.cumsum(~empty * values.shape[1])).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[~empty].view(np.int64).ravel()))
 
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
@@ -234,7 +233,7 @@ def cross_pairs(members: DataFrame, params: NearDupParams, likely: bool) -> Data
 def open_members(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components of `links`, with their component, sketch and bands."""
     groups = cut(connected_components(links), "components").select(F.col("node").alias("id"), F.col("component").alias("_c"))
-    named = cut(members.where("_n > 2").join(groups, "id", "left").select(
+    named = cut(members.join(groups, "id", "left").select(
         "key", "_n", "id", F.coalesce("_c", "id").alias("component")), "named")
     ends = named.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
     mixed = cut(ends.where(F.col("_least") != F.col("_most")).select("key"), "mixed")
@@ -283,3 +282,12 @@ def near_duplicates(
                      F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
     discard(spark, nodes, buckets, members, links)
     return out
+
+
+def keep_one_of_each(
+    df: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of `df`, as they came, but for those whose component has a smaller id."""
+    gone = near_duplicates(df, params, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
+    gone = cut(gone, "gone")
+    return df.join(gone.hint("merge"), df[id_col] == gone["_gone"], "left_anti")

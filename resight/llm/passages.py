@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -347,3 +348,28 @@ def remove_repeats(
     out = met.mapInArrow(work, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
                                "spans array<struct<begin: bigint, end: bigint>>")
     return out.withColumnRenamed("id", id_col)
+
+
+def cut_repeats(
+    df: DataFrame, params: PassageParams = PassageParams(), text_col: str = "text",
+) -> DataFrame:
+    """The rows of `df` with repeated byte strings taken out of the text; all columns stay, a null text too.
+
+    A character that a cut splits goes as a whole.
+    """
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    keyed, lists = with_runs(packed, params, "text")
+    lists = lists.hint("merge")
+    met = keyed.join(lists, keyed["_key"] == lists["_text"], "left")
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for text, runs in zip(texts, lists):
+            raw = text.encode()
+            out.append(without(raw, covered(len(raw), list(runs), params.width)).decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    cleaned = rest(F.coalesce("text", F.lit("")), F.coalesce("_runs", F.array().cast("array<struct<start: bigint, n: bigint>>")))
+    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(cleaned)
+    return met.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns))

@@ -102,5 +102,6 @@ class Rollup:
 def repeated_texts(counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of `counted` whose text another row of a smaller id has."""
     first = counted.groupBy("text_key").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    first = first.select(F.col("text_key").alias("_key"), "_first")
-    return counted.join(first, (F.col("text_key") == F.col("_key")) & (F.col(id_col) > F.col("_first"))).drop("_key", "_first")
+    first = first.select(F.col("text_key").alias("_key"), F.col("_first").alias("_first"))
+    same = (counted["text_key"] == first["_key"]) & (counted[id_col] > first["_first"])
+    return counted.join(first, same).drop(first["_key"], first["_first"])
