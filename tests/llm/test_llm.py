@@ -264,7 +264,7 @@ def test_fuzzy_lines(request, name):
     group = merge(range(len(order)), [(a, b) for a, b in met if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
     want = {(*k, *order[group[place[k]]], order[group[place[k]]] == k) for k in order}
     got = {tuple(r) for r in lines.line_groups(df).collect()}
-    assert len(got ^ want) <= 2 * 0.002 * len(want)  # bands miss a few at the border
+    assert len(got ^ want) <= 2 * 0.005 * len(want)  # bands miss a few at the border
     if name != "docs":
         assert got == want
     out = lines.drop_lines(df)
