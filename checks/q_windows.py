@@ -45,6 +45,22 @@ def _(t):
     return ranking.true_ranks(scores, truth, ["query_id"], database)
 
 
+@query("e1_true_rank_positive", f"""WITH s AS ({{P}}), db AS (SELECT DISTINCT l_partkey % 200 AS target_id FROM lineitem),
+tr AS (SELECT s_suppkey AS query_id, s_suppkey * 7 % 230 AS ind FROM supplier),
+full_s AS (SELECT q.query_id, d.target_id, coalesce(s.score, 0) AS score FROM tr q CROSS JOIN db d
+  LEFT JOIN s ON s.query_id = q.query_id AND s.target_id = d.target_id),
+own AS (SELECT tr.query_id, tr.ind, f.score FROM tr LEFT JOIN full_s f ON f.query_id = tr.query_id AND f.target_id = tr.ind)
+SELECT o.query_id, o.ind, (CASE WHEN o.score IS NULL THEN -1 ELSE 1 + (SELECT count(*) FROM full_s f
+  WHERE f.query_id = o.query_id AND (f.score < o.score OR (f.score = o.score AND f.target_id < o.ind))) END)::BIGINT AS rank
+FROM own o""".replace("{P}", "SELECT l_suppkey AS query_id, l_partkey % 200 AS target_id, sum(l_quantity) - 60 AS score FROM lineitem GROUP BY 1, 2"))
+def _(t):
+    scores = t.lineitem.groupBy(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 200).alias("target_id")).agg(
+        (F.sum("l_quantity") - 60).alias("score"))
+    truth = t.supplier.select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") * 7 % 230).alias("ind"))
+    database = t.lineitem.select((F.col("l_partkey") % 200).alias("target_id"))
+    return ranking.true_ranks(scores, truth, ["query_id"], database)
+
+
 def _scores_of(rows):
     return rows.groupBy(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 200).alias("target_id")).agg(
         (-F.sum("l_quantity")).alias("score"))

@@ -22,8 +22,8 @@ def top_names(scores: DataFrame, n: int, keys: list[str] | None = None, target:
 
 
 def result_table(scores: DataFrame, names: DataFrame) -> DataFrame:
-    """Scores with names, best first."""
-    return scores.join(names, "target_id").orderBy("query_id", "score", "target_id")
+    """Scores with names, best first; a target without a name has null."""
+    return scores.join(names, "target_id", "left").orderBy("query_id", "score", "target_id")
 
 
 def true_ranks(
@@ -43,6 +43,13 @@ def true_ranks(
         shared = [k for k in keys if k in database.columns]
         # Dense place of each individual in the database by id, for ties at score 0.
         held = _dense_places(database, shared)
+        scores = scores.join(database.select(*shared, "target_id").distinct(), [*shared, "target_id"], "left_semi")
+        own = scores.select(*keys, F.col("target_id").alias("ind"), F.col("score").alias("_own"))
+        size = F.count(F.lit(1)).alias("_size")
+        if shared:
+            held = held.join(held.groupBy(*shared).agg(size), shared)
+        else:
+            held = held.withColumn("_size", F.lit(held.agg(size).first()[0]))
         marked = (
             truth.join(held, [*shared, "ind"], "left").join(own, [*keys, "ind"], "left")
             .withColumn("_known", F.col("_place").isNotNull())
@@ -55,14 +62,16 @@ def true_ranks(
     counted = [F.count(F.when(before, F.lit(1))).alias("_before")]
     group = [*keys, "ind", "_known", "_own"]
     if database is not None:
-        group.append("_place")
+        group += ["_place", "_size"]
+        counted.append(F.count("target_id").alias("_listed"))
         counted.append(F.count(F.when(F.col("target_id") < F.col("ind"), F.lit(1))).alias("_listed_smaller"))
     ranks = met.groupBy(*group).agg(*counted)
     rank = F.col("_before") + 1
     if database is not None:
         # Unlisted individuals tie at 0 and come before by id, or all of them if the own score is positive.
         unlisted = F.col("_place") - F.col("_listed_smaller")
-        rank = rank + F.when(F.col("_own") == 0.0, unlisted).otherwise(F.lit(0))
+        every = F.col("_size") - F.col("_listed")
+        rank = rank + F.when(F.col("_own") == 0.0, unlisted).when(F.col("_own") > 0.0, every).otherwise(F.lit(0))
     return ranks.select(*keys, "ind", F.when(F.col("_known"), rank).otherwise(F.lit(-1)).cast("bigint").alias("rank"))
 
 
@@ -96,7 +105,11 @@ def accuracy_curve(ranks: DataFrame, sizes: DataFrame) -> DataFrame:
     known = ranks.filter(F.col("rank") > 0)
     hits = known.groupBy("run", F.col("rank").alias("k")).agg(F.count(F.lit(1)).alias("_hits"))
     totals = known.groupBy("run").agg(F.count(F.lit(1)).alias("_total"))
-    levels = sizes.select("run", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_individuals"))).alias("k"))
+    # Levels come in pieces, so no row holds an array as long as the database.
+    starts = sizes.select("run", "n_individuals", F.explode(
+        F.sequence(F.lit(1).cast("bigint"), F.col("n_individuals"), F.lit(65536).cast("bigint"))).alias("_from"))
+    levels = starts.select("run", F.explode(
+        F.sequence("_from", F.least(F.col("_from") + 65535, F.col("n_individuals")))).alias("k"))
     filled = levels.join(hits, ["run", "k"], "left").select(
         "run", "k", F.coalesce("_hits", F.lit(0)).cast("bigint").alias("_hits")
     )
