@@ -132,14 +132,18 @@ def _(t):
     return _evaluated(t, 3)["all"].select("run", "enc", "ind", "rank")
 
 
-@query("j9_evaluate_rankings", f"""WITH {EVAL}, tp AS (SELECT run, enc, string_agg(target_id::VARCHAR, ',' ORDER BY score, target_id) AS names FROM
-(SELECT *, row_number() OVER (PARTITION BY run, enc ORDER BY score, target_id) AS p FROM ss QUALIFY p <= 3) GROUP BY 1, 2)
+@query("j9_evaluate_rankings", f"""WITH {EVAL}, tp AS (SELECT run, enc, string_agg(target_id::VARCHAR, ',' ORDER BY place) AS names FROM ra WHERE place <= 3 GROUP BY 1, 2)
 SELECT rk.run, rk.enc, coalesce(names, '') AS names FROM rk LEFT JOIN tp USING (run, enc)""")
 def _(t):
     listed = F.array_join(F.col("ranking").cast("array<string>"), ",")
     return _evaluated(t, 3)["all"].select("run", "enc", F.coalesce(listed, F.lit("")).alias("names"))
 
 
+@query("j9_evaluate_rankings_full", f"""WITH {EVAL} SELECT rk.run, rk.enc, rk.ind, rk.rank, ra.place AS position, ra.target_id AS ranking FROM rk LEFT JOIN ra USING (run, enc)""")
+def _(t):
+    return _evaluated(t)["all"]
+
+
 @query("j9_evaluate_mrr", f"""WITH {EVAL} SELECT run, ind, count(*) AS num, round(avg(1.0 / rank), 6) AS mrr FROM rk WHERE rank > 0 GROUP BY 1, 2""")
 def _(t):
     return _evaluated(t)["mrr"].withColumn("mrr", V.tidy(F.col("mrr")))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -69,7 +70,8 @@ def nearest_in_block(queries: np.ndarray, items: np.ndarray, ids: np.ndarray, co
     # Values whose squares single precision cannot hold are multiplied in double precision.
     kind = np.float32 if max(own.max(initial=0.0), squares.max(initial=0.0)) < 1e30 else np.float64
     slack = 4.0 * (queries.shape[1] + 4) * np.finfo(kind).eps * (own + squares.max(initial=0.0)) + 1e-30
-    rounded, bound, hits = queries.astype(kind), np.full(len(queries), np.inf), []
+    rounded, bound = queries.astype(kind), np.full(len(queries), np.inf)
+    rows, cols, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     for low in range(0, len(items), width):
         part = (-2.0 * items[low:low + width].T).astype(kind)
         rough = rounded @ part
@@ -77,14 +79,27 @@ def nearest_in_block(queries: np.ndarray, items: np.ndarray, ids: np.ndarray, co
         if part.shape[1] >= count:
             bound = np.minimum(bound, _upper_bound(rough, count))
         row, col = np.divmod(np.flatnonzero(rough <= (bound + slack).astype(kind)[:, None]), part.shape[1])
-        hits.append((row, col + low))
-    rows, cols = (np.concatenate(side) for side in zip(*hits))
-    diff = queries[rows] - items[cols]
-    dist = np.sqrt((diff * diff).sum(axis=1))
+        col += low
+        near = _distances(queries, items, row, col)
+        rows, cols, dist = _first_of_each(
+            np.concatenate([rows, row]), np.concatenate([cols, col]), np.concatenate([dist, near]), ids, count)
+    return rows, cols, dist
+
+
+def _distances(queries: np.ndarray, items: np.ndarray, row: np.ndarray, col: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Distances of pairs, `step` pairs at a time: near-copies can put every pair on the shortlist."""
+    out = np.empty(len(row))
+    for at in range(0, len(row), step):
+        diff = queries[row[at:at + step]] - items[col[at:at + step]]
+        out[at:at + step] = np.sqrt((diff * diff).sum(axis=1))
+    return out
+
+
+def _first_of_each(rows: np.ndarray, cols: np.ndarray, dist: np.ndarray, ids: np.ndarray, count: int):
+    """The `count` first pairs of each row by (distance, id)."""
     order = np.lexsort((ids[cols], dist, rows))
     rows, cols, dist = rows[order], cols[order], dist[order]
-    start = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - start < count
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < count
     return rows[keep], cols[keep], dist[keep]
 
 
@@ -212,12 +227,16 @@ def choose_pivots(d: DataFrame, params: NeighbourParams, wanted: dict[str, tuple
     ])
     numbers = F.create_map(*[F.lit(v) for scale, (_, number) in wanted.items() for v in (scale, number)])
     named = d.select(F.col("scale").cast("string").alias("scale"), "vec", "d_vec", draw.alias("_draw"))
-    thinned = named.filter(F.col("_draw") < limits[F.col("scale")])
     first = W.partitionBy("scale").orderBy("_draw", "d_vec")
-    picked = (
-        thinned.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= params.pivots)
-        .filter(F.col("_place") <= numbers[F.col("scale")]).select("scale", "vec").toPandas()
-    )
+
+    def pick(rows: DataFrame) -> pd.DataFrame:
+        placed = rows.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= params.pivots)
+        return placed.filter(F.col("_place") <= numbers[F.col("scale")]).select("scale", "vec").toPandas()
+
+    picked = pick(named.filter(F.col("_draw") < limits[F.col("scale")])) if wanted else pick(named.limit(0))
+    missed = wanted.keys() - set(picked["scale"])
+    if missed:  # no row of these scales is below the threshold
+        picked = pd.concat([picked, pick(named.filter(F.col("scale").isin(*missed)))])
     return Pivots({s: np.stack(g["vec"].to_numpy()) for s, g in picked.groupby("scale")})
 
 
@@ -254,15 +273,10 @@ def exact_neighbours(
 ) -> DataFrame:
     """Exact search that skips the cells which cannot hold a neighbour.
 
-    A collection too small to fill `min_pivots` cells is searched block by block at once.
+    Every collection takes this path, however small; a scale of few vectors has one cell.
     """
     q, d = _renamed(queries, database)
-    wanted = pivots_wanted(d, params)
-    if max((number for _, number in wanted.values()), default=0) < params.min_pivots:
-        return blocked_neighbours(queries, database, count, params)
-    pivots = choose_pivots(d, params, wanted)
-    if pivots.vectors.keys() != wanted.keys():
-        return blocked_neighbours(queries, database, count, params)
+    pivots = choose_pivots(d, params, pivots_wanted(d, params))
     assigned = T.StructType([*d.schema.fields, T.StructField("cell", T.IntegerType()),
                              T.StructField("far", T.DoubleType())])
     arrow_d = to_arrow_schema(assigned)

@@ -42,7 +42,7 @@ def true_ranks(
     else:
         shared = [k for k in keys if k in database.columns]
         # Dense place of each individual in the database by id, for ties at score 0.
-        held = _dense_places(database, shared)
+        held = dense_places(database, shared)
         scores = scores.join(database.select(*shared, "target_id").distinct(), [*shared, "target_id"], "left_semi")
         own = scores.select(*keys, F.col("target_id").alias("ind"), F.col("score").alias("_own"))
         size = F.count(F.lit(1)).alias("_size")
@@ -75,7 +75,7 @@ def true_ranks(
     return ranks.select(*keys, "ind", F.when(F.col("_known"), rank).otherwise(F.lit(-1)).cast("bigint").alias("rank"))
 
 
-def _dense_places(database: DataFrame, shared: list[str], cuts: int = 255) -> DataFrame:
+def dense_places(database: DataFrame, shared: list[str], cuts: int = 255) -> DataFrame:
     """Number of database individuals with a smaller id, per run.
 
     A fixed number of ids drawn by hash cuts the id range into buckets, so no run is numbered

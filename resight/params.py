@@ -79,7 +79,6 @@ class NeighbourParams:
     # A database block is larger: one meeting returns `count` rows per query whatever its size.
     db_block_rows: int = 8192
     blocks_per_salt: int = 4
-    min_pivots: int = 4
     pivots: int = 512
     max_pivot_cells: int = 20_000
     lsh_tables: int = 10

@@ -9,7 +9,7 @@ from resight.operators import evidence, linking, neighbours, ranking, warping
 from resight.params import LnbnnParams, NeighbourParams, WarpParams
 from resight.plans import evaluation, scoring
 
-TIGHT = NeighbourParams(block_rows=16, db_block_rows=32, blocks_per_salt=2, pivots=24, min_pivots=2)
+TIGHT = NeighbourParams(block_rows=16, db_block_rows=32, blocks_per_salt=2, pivots=24)
 
 
 @pytest.fixture(scope="module")
@@ -44,11 +44,29 @@ def test_equal_vectors_go_by_id(spark):
     d = spark.createDataFrame(rows, "scale int, vec_id long, vec array<double>, target long")
     q = d.select("scale", "vec_id", "vec", F.col("vec_id").alias("query_id"))
     for method in ("exact", "blocked"):
-        got = neighbours.neighbours(q, d, 3, method, NeighbourParams(block_rows=4, db_block_rows=8, pivots=8, min_pivots=2))
+        got = neighbours.neighbours(q, d, 3, method, NeighbourParams(block_rows=4, db_block_rows=8, pivots=8))
         near = {r.q_vec: r.n for r in got.groupBy("q_vec").agg(F.sort_array(F.collect_list("d_vec")).alias("n")).collect()}
         assert near[17] == [0, 1, 2] and near[59] == [40, 41, 42]
 
 
+def test_exact_uses_pivots_at_every_size(vectors):
+    q, d = sides(vectors)
+    plan = neighbours.neighbours(q, d, 3)._jdf.queryExecution().analyzed().toString()
+    assert "cell#" in plan
+
+
+def test_near_copies_are_measured_in_bounded_steps():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    data = base + 1e-5 * rng.normal(size=(700, 16))
+    data[::7] = data[0]
+    ids = rng.permutation(700)
+    rows, cols, dist = neighbours.nearest_in_block(data[:90], data, ids, 4, width=128)
+    full = np.sqrt(((data[:90, None] - data[None]) ** 2).sum(2))
+    for q in range(90):
+        assert cols[rows == q].tolist() == np.lexsort((ids, full[q]))[:4].tolist()
+
+
 def test_pruning_skips_cells():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(10, 8)) * 20
