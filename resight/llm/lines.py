@@ -39,9 +39,15 @@ class LineParams:
 
 def normal_line(line: str) -> str:
     """A line as it is compared: A-Z in lower case, white space runs one space, none at the ends."""
-    return " ".join(line.translate(LOWER).split())
+    return " ".join(lower_ascii(line).split())
 
 
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case: bytes know no other letters, and theirs are much faster than a table for `str.translate`."""
+    return text.encode().lower().decode()
+
+
+#: The same as a table.
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -99,8 +105,8 @@ def scan_lines(df: DataFrame, params: LineParams) -> DataFrame:
         for batch in small_batches(batches, "text", 2 << 20):
             owner, number, raw = [], [], []
             for at, text in enumerate(batch.column("text").to_pylist()):
-                for no, line in enumerate(text.split("\n")):
-                    line = normal_line(line)
+                for no, line in enumerate(lower_ascii(text).split("\n")):
+                    line = " ".join(line.split())
                     if line:
                         owner.append(at)
                         number.append(no)
