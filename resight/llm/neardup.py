@@ -9,6 +9,8 @@ Groups may hold any share of the documents, so pairs are not listed. Documents w
 node first meets one other only, the smallest that shares a bucket with it. Components of the links found show which buckets still hold
 several components; there, within bounded parts, only the likeliest pairs that would join components are tried next. At
 last, nodes of components that are still apart meet in every bucket they share, part by part, so that no link is lost.
+A cell of two parts that holds such pairs gets the full sets of its nodes, once each, and confirms them among itself;
+pairs that links of the cell have joined meanwhile are passed over.
 """
 
 from __future__ import annotations
@@ -42,6 +44,9 @@ class NearDupParams:
     least_estimate: float = 0.67
     #: Members of a bucket or of one document's pairs that meet in one task.
     block: int = 256
+    #: The same where full sets meet in cells: members of a part, and shingles of its members together.
+    cell_block: int = 1024
+    cell_shingles: int = 1 << 21
 
 
 def signatures(df: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
@@ -97,6 +102,32 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame, params: NearDupParams) -> Da
     return met.where((filled - differing) / 2 / F.greatest(either, F.lit(1)) >= params.least_estimate).select("a", "b")
 
 
+def alike(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Whether two full sets have 100 * intersection >= percent * union."""
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(left) + len(right) - common)
+
+
+class Roots:
+    """Components of a cell while links join them."""
+
+    def __init__(self):
+        self.root: dict = {}
+
+    def find(self, c):
+        root = self.root
+        root.setdefault(c, c)
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    def join(self, left, right) -> bool:
+        """False if they were one before."""
+        left, right = self.find(left), self.find(right)
+        self.root[left] = right
+        return left != right
+
+
 def confirm(pairs: DataFrame, df: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
@@ -126,11 +157,8 @@ def confirm(pairs: DataFrame, df: DataFrame, params: NearDupParams, id_col: str,
                 if other is None:
                     centre.append(members_of)
                     continue
-                for own in centre:
-                    common = len(np.intersect1d(own, members_of, assume_unique=True))
-                    if common and 100 * common >= params.percent * (len(own) + len(members_of) - common):
-                        found.append((key[0], other))
-                        break
+                if any(alike(own, members_of, params.percent) for own in centre):
+                    found.append((key[0], other))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("a").type), pa.array(b, batch.column("b").type)],
@@ -140,20 +168,23 @@ def confirm(pairs: DataFrame, df: DataFrame, params: NearDupParams, id_col: str,
 
 
 def cell_pairs(
-    ids: np.ndarray, component: np.ndarray, upper: np.ndarray, sketch: np.ndarray, bands: np.ndarray, key: int,
+    component: np.ndarray, upper: np.ndarray, size: np.ndarray, sketch: np.ndarray, bands: np.ndarray, key: int,
     apart: bool, likely: bool, params: NearDupParams,
-) -> list[tuple]:
-    """Close pairs across components in one cell; with `likely`, only those that join its components, the closest first.
+) -> list[tuple[float, int, int]]:
+    """Close pairs (estimate, row, row) across components in one cell, the closest first; with `likely`, only those that
+    join its components.
 
-    A pair that shares several buckets belongs to the first of them.
+    Sets whose sizes differ too much can't be linked. A pair that shares several buckets belongs to the first of them.
     """
     odd = params.bits // 64
     filled = np.bitwise_count(sketch[:, odd:]).sum(axis=1, dtype=np.int64)
     out = []
-    for at in range(len(ids) - 1):
+    for at in range(len(component) - 1):
         other = component[at + 1 :] != component[at]
         if apart:  # two parts: pairs within one of them meet elsewhere
             other &= upper[at + 1 :] != upper[at]
+        there = size[at + 1 :]
+        other &= 100 * np.minimum(there, size[at]) >= params.percent * np.maximum(there, size[at])
         near = np.flatnonzero(other) + at + 1
         if not near.size:
             continue
@@ -164,77 +195,153 @@ def cell_pairs(
         near, guess = near[good], guess[good]
         if near.size and not likely:
             shared = bands[near] == bands[at]
-            near = near[bands[at][shared.argmax(axis=1)] == key]
+            own = bands[at][shared.argmax(axis=1)] == key
+            near, guess = near[own], guess[own]
         out += [(g, at, k) for g, k in zip(guess.tolist(), near.tolist())]
+    out.sort(reverse=True)
     if likely:
-        root = {c: c for c in component.tolist()}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        joining = []
-        for g, x, y in sorted(out, reverse=True):
-            left, right = find(component[x]), find(component[y])
-            if left != right:
-                root[left] = right
-                joining.append((g, x, y))
-        out = joining
-    return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for _, x, y in out]
+        roots = Roots()
+        names = component.tolist()
+        out = [(g, x, y) for g, x, y in out if roots.join(names[x], names[y])]
+    return out
 
 
-def cross_pairs(members: DataFrame, params: NearDupParams, likely: bool, turn: int) -> DataFrame:
-    """Pairs across components among the rows (key, _n, id, component, sketch, bands) of every bucket, each once.
+def dealt_cells(members: DataFrame, params: NearDupParams, likely: bool, turn: int) -> DataFrame:
+    """The rows (key, _n, _size, id, component, n_shingles, sketch, bands) of every bucket, by cell.
 
-    A bucket of n rows is dealt into ceil(n / block) parts; any two parts meet in one cell. With `likely` each part
-    stays by itself and gives fewer pairs than it has rows.
+    A bucket is dealt into parts of bounded size; any two parts meet in one cell. With `likely` each part stays by itself.
     """
-    parts = F.ceil(F.col("_n") / params.block).cast("int")
-    own = members.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("_parts")).cast("int"))
+    if likely:
+        parts = F.ceil(F.col("_n") / params.block)
+    else:
+        parts = F.greatest(F.ceil(F.col("_n") / params.cell_block), F.ceil(F.col("_size") / params.cell_shingles))
+    own = members.withColumn("_parts", parts.cast("int")).withColumn(
+        "_own", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("_parts")).cast("int"))
     others = F.array("_own") if likely else F.sequence(F.lit(0), F.col("_parts") - 1)
     cells = own.withColumn("_other", F.explode(others)).select(
         "key", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "id", "component",
-        "sketch", "bands", (F.col("_own") > F.col("_other")).alias("_upper"))
-    dealt = cells.repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi")
+        (F.col("_own") > F.col("_other")).alias("_upper"), "n_shingles", "sketch", "bands")
+    return cells.repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi")
+
+
+CELL = ("key", "_lo", "_hi")
+
+
+def each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, _lo, _hi) and id, component, _upper, n_shingles, sketch, bands of one cell after another, as arrays."""
+    held, waiting = None, []
+
+    def grid(column: pa.Array, rows: int) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(rows, -1)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in CELL])
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "_upper", "n_shingles")]
+        columns += [grid(batch.column("sketch"), batch.num_rows).view(np.uint64), grid(batch.column("bands"), batch.num_rows)]
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            key = tuple(keys[:, begin].tolist())
+            if key != held:
+                if waiting:
+                    yield held, [np.concatenate(x) for x in zip(*waiting)]
+                held, waiting = key, []
+            waiting.append(tuple(c[begin:end] for c in columns))
+    if waiting:
+        yield held, [np.concatenate(x) for x in zip(*waiting)]
+
+
+def likely_pairs(members: DataFrame, params: NearDupParams, turn: int) -> DataFrame:
+    """Pairs (a, b) that would join components within the parts of every bucket: fewer than a part has rows."""
     kind = members.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = None, []
-
-        def give() -> Iterator[pa.RecordBatch]:
-            pairs = cell_pairs(*(np.concatenate(x) for x in zip(*waiting)), held[0], held[1] != held[2], likely, params)
+        for (key, _, _), (ids, *columns) in each_cell(batches):
+            pairs = [(min(ids[x], ids[y]), max(ids[x], ids[y])) for _, x, y in cell_pairs(*columns, key, False, True, params)]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs)], names=["a", "b"])
 
-        def grid(column: pa.Array, rows: int) -> np.ndarray:
-            return column.flatten().to_numpy().reshape(rows, -1)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "_lo", "_hi")])
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "_upper")]
-            columns += [grid(batch.column("sketch"), batch.num_rows).view(np.uint64), grid(batch.column("bands"), batch.num_rows)]
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                key = tuple(keys[:, begin].tolist())
-                if key != held:
-                    if waiting:
-                        yield from give()
-                    held, waiting = key, []
-                waiting.append(tuple(c[begin:end] for c in columns))
-        if waiting:
-            yield from give()
+    return dealt_cells(members, params, True, turn).mapInArrow(work, f"a {kind}, b {kind}").distinct()
+
+
+def cell_links(members: DataFrame, df: DataFrame, params: NearDupParams, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join components, from all pairs across components that share a bucket, confirmed on full sets.
+
+    A first pass names the nodes of every cell that have close pairs there, and the pairs; the second gets their texts.
+    """
+    spark = members.sparkSession
+    kind = members.schema["id"].dataType.simpleString()
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, (ids, component, *columns) in each_cell(batches):
+            partners: dict = {}
+            for g, x, y in cell_pairs(component, *columns, cell[0], cell[1] != cell[2], False, params):
+                partners.setdefault(x, []).append((g, ids[y]))
+                partners.setdefault(y, [])
+            if partners:
+                rows = list(partners)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([c] * len(rows), k) for c, k in zip(cell, (pa.int64(), pa.int32(), pa.int32()))),
+                     pa.array(ids[rows]), pa.array(component[rows]),
+                     pa.array([[{"guess": g, "other": o} for g, o in partners[x]] for x in rows],
+                              pa.list_(pa.struct([("guess", pa.float64()), ("other", pa.array(ids[:1]).type)])))],
+                    names=[*CELL, "id", "component", "partners"])
+
+    named = dealt_cells(members, params, False, 0).mapInArrow(
+        candidates, f"key bigint, _lo int, _hi int, id {kind}, component {kind}, partners array<struct<guess: double, other: {kind}>>")
+    named = cut(named, "cells")
+    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = cut(texts.join(named.select("id").distinct().hint("merge"), "id"), "texts")
+    met = named.join(texts.hint("merge"), "id").repartition(*CELL).sortWithinPartitions(*CELL)
+
+    def links(rows: list[tuple]) -> list[tuple]:
+        component, sets, pairs, roots = {}, {}, {}, Roots()
+        for own, of, partners, members_of in rows:
+            component[own] = of
+            sets.setdefault(own, []).append(members_of)
+            pairs |= {(own, p["other"]): p["guess"] for p in partners}
+        found = []
+        for own, other in sorted(pairs, key=pairs.get, reverse=True):
+            left, right = component[own], component[other]
+            if roots.find(left) != roots.find(right) and any(
+                    alike(x, y, params.percent) for x in sets[own] for y in sets[other]):
+                roots.join(left, right)
+                found.append((own, other))
+        return found
 
-    return dealt.mapInArrow(work, f"a {kind}, b {kind}")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
+
+        def give(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found = links(rows)
+            if found:
+                kinds = [batch.schema.field("id").type] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), kinds)], names=["a", "b"])
+
+        batch = None
+        for batch in small_batches(batches, "text"):
+            sets = shingle_sets(*flat_bytes(batch.column("text")), params.words)
+            keys = zip(*(batch.column(c).to_pylist() for c in CELL))
+            rest = zip(*(batch.column(c).to_pylist() for c in ("id", "component", "partners")), sets)
+            for key, row in zip(keys, rest):
+                if key != held:
+                    yield from give(batch)
+                    held, rows = key, []
+                rows.append(row)
+        if rows:
+            yield from give(batch)
+
+    out = cut(met.mapInArrow(work, f"a {kind}, b {kind}").distinct(), "links")
+    discard(spark, named, texts)
+    return out
 
 
 def open_members(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components of `links`, with their component, sketch and bands."""
+    """The rows of buckets that hold several components of `links`, with their component, size, sketch and bands."""
     groups = cut(connected_components(links), "components").select(F.col("node").alias("id"), F.col("component").alias("_c"))
     named = cut(members.join(groups, "id", "left").select(
-        "key", "_n", "id", F.coalesce("_c", "id").alias("component")), "named")
+        "key", "_n", "_size", "id", F.coalesce("_c", "id").alias("component")), "named")
     ends = named.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
     mixed = cut(ends.where(F.col("_least") != F.col("_most")).select("key"), "mixed")
     out = cut(named.join(mixed, "key").join(nodes, "id"), "open")
@@ -257,20 +364,25 @@ def near_duplicates(
     full = rows.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
     sets = cut(full.groupBy("set_key").agg(F.min("id").alias("rep")), "sets")
     nodes = full.join(sets.select("set_key", F.col("rep").alias("id")), ["set_key", "id"]).dropDuplicates(["set_key", "id"])
-    nodes = cut(nodes.select("id", "sketch", "bands"), "nodes")
-    banded = nodes.select("id", F.explode("bands").alias("key"))
-    buckets = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("centre")).where("_n > 1"), "buckets")
-    members = cut(banded.join(buckets, "key"), "members")
+    nodes = cut(nodes.select("id", "n_shingles", "sketch", "bands"), "nodes")
+    banded = nodes.select("id", "n_shingles", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_size"), F.min("id").alias("centre")).where("_n > 1")
+    buckets = cut(buckets, "buckets")
+    members = cut(banded.drop("n_shingles").join(buckets, "key"), "members")
     pairs = members.groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a")).where("a != b").select("a", "b")
     pairs = cut(pairs, "pairs")
     links = cut(confirm(cut(close_pairs(pairs, nodes, params), "pairs"), df, params, id_col, text_col), "links")
     tried = pairs
-    for turn, likely in enumerate((True, True, False)):
+    for turn in range(2):
         rest = open_members(members, nodes, links)
-        more = cut(cross_pairs(rest, params, likely, turn).join(tried, ["a", "b"], "left_anti").distinct(), "pairs")
+        more = cut(likely_pairs(rest, params, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         links = cut(links.unionAll(confirm(more, df, params, id_col, text_col)), "links")
         tried = tried.unionAll(more)
         discard(spark, rest)
+    rest = open_members(members, nodes, links)
+    links = cut(links.unionAll(cell_links(rest, df, params, id_col, text_col)), "links")
+    discard(spark, rest)
     groups = cut(connected_components(links), "components")
 
     by_set = sets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
