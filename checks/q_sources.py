@@ -223,15 +223,15 @@ def _(t):
         t.customer.select(F.col("c_custkey").alias("aid"), F.lit("db").alias("side")))
 
 
-@query("g3_split_overlap", """SELECT user_id AS individual FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'signup'""")
+@query("g3_split_overlap", """SELECT user_id::BIGINT AS individual FROM events INTERSECT SELECT o_custkey::BIGINT FROM orders""")
 def _(t):
-    side = lambda kind: t.events.filter(F.col("event_type") == kind).select(F.col("user_id").alias("individual"))
-    return splits.shares_nothing(side("click"), side("signup"), "individual")
+    side = lambda df, key: df.select(F.col(key).cast("bigint").alias("individual"))
+    return splits.shares_nothing(side(t.events, "user_id"), side(t.orders, "o_custkey"), "individual")
 
 
-@query("g4_scale_difference", """SELECT DISTINCT l_suppkey AS obs_id, l_linenumber AS scale FROM lineitem WHERE l_returnflag = 'A'
-EXCEPT SELECT l_suppkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49""")
+@query("g4_scale_difference", """SELECT DISTINCT l_suppkey::BIGINT AS obs_id, l_linenumber::BIGINT AS scale FROM lineitem
+EXCEPT SELECT s_suppkey::BIGINT, (s_nationkey % 7 + 1)::BIGINT FROM supplier""")
 def _(t):
-    wanted = t.lineitem.filter("l_returnflag = 'A'").select(F.col("l_suppkey").alias("obs_id"), F.col("l_linenumber").alias("scale"))
-    done = t.lineitem.filter("l_returnflag = 'R' AND l_quantity > 49").select("l_suppkey", "l_linenumber")
+    wanted = t.lineitem.selectExpr("bigint(l_suppkey) AS obs_id", "bigint(l_linenumber) AS scale")
+    done = t.supplier.selectExpr("bigint(s_suppkey)", "bigint(s_nationkey % 7 + 1)")
     return wanted.subtract(done)
