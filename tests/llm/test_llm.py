@@ -264,7 +264,7 @@ def test_fuzzy_lines(request, name):
     group = merge(range(len(order)), [(a, b) for a, b in met if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
     want = {(*k, *order[group[place[k]]], order[group[place[k]]] == k) for k in order}
     got = {tuple(r) for r in lines.line_groups(df).collect()}
-    assert len(got ^ want) <= 2 * 0.005 * len(want)  # bands miss a few at the border
+    assert len(got ^ want) <= 2 * 0.002 * len(want)  # bands miss a few at the border
     if name != "docs":
         assert got == want
     out = lines.drop_lines(df)
@@ -274,6 +274,18 @@ def test_fuzzy_lines(request, name):
         assert texts[1] is None and texts[6] == "one two" and texts[7] == "" and texts[13] == "\nshort"
 
 
+def test_bands_of_fuzzy_lines(spark):
+    """Pairs of long lines of similarity 0.75 exactly: 560 shingles, of which ten changed letters alter eight each."""
+    draw = np.random.default_rng(1)
+    left = draw.integers(97, 123, (2000, 567))
+    right = left.copy()
+    right[:, 28::56] = 97 + (right[:, 28::56] - 96) % 26
+    rows = [(i, bytes(x.astype(np.uint8).tolist()).decode()) for i, x in enumerate(np.concatenate([left, right]))]
+    got = lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 4000 and all(r["keeper_id"] in (r["doc_id"], r["doc_id"] - 2000) for r in got)
+    assert sum(r["kept"] for r in got) - 2000 <= 0.005 * 2000
+
+
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
 def test_byte_bpe(request, name):
     df = request.getfixturevalue(name)
