@@ -41,9 +41,10 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int = WORDS) -> li
     hashes, first = word_hashes(data, starts)
     factors = drawn(2, words) | np.uint64(1)
     n = len(hashes)
-    joined = np.zeros(max(0, n - words + 1), dtype=np.uint64)
+    whole = max(0, n - words + 1)
+    joined = np.zeros(whole, dtype=np.uint64)
     for j in range(words):
-        joined += hashes[j : n - words + 1 + j] * factors[j]
+        joined += hashes[j : whole + j] * factors[j]
     joined = mixed(joined)
     out = []
     bounds = first.tolist()

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from conftest import SMALL
 from resight.llm import bpe, components, hosts, lines, neardup, packing, passages, rollups, sharding, suffixes, topk, urls
 from resight.llm.queries import QUERIES
+from resight.llm.shingles import shingle_sets
 
 RANKS, JSON, PATTERN = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"),
                         public_tokenizers.PATTERN)
@@ -238,6 +239,19 @@ def test_near_duplicates(request, name):
     assert counted(r["doc_id"] for r in kept.collect()) == counted(w[0] for w in want if w[3])
 
 
+@pytest.mark.parametrize("texts", [["a"], ["a b"], ["a b c"], ["a b c d"], ["a b c d e"], ["a b", "c"], ["a", "", "b", "c"], ["", " "], []])
+def test_few_words(texts):
+    raw = [t.encode() for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    got = shingle_sets(np.frombuffer(b"".join(raw), dtype=np.uint8), starts)
+    assert [len(x) for x in got] == [len(shingles(t)) for t in texts]
+
+
+def test_one_text_of_three_words(spark):
+    got = neardup.near_duplicates(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
+    assert list(map(tuple, got)) == [(1, 1, 1, True)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 150)]
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
