@@ -399,7 +399,33 @@ def near_duplicates(
 def keep_one_of_each(
     df: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """The rows of `df`, as they came, but for those whose component has a smaller id."""
-    gone = near_duplicates(df, params, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    gone = cut(gone, "gone")
-    return df.join(gone.hint("merge"), df[id_col] == gone["_gone"], "left_anti")
+    """The rows of `df`, as they came, one of each component: that of the smallest id.
+
+    Components that hold a repeated id are searched again row by row, so that a document stored twice stays once and
+    other texts under its id stay too; of rows of one id the first in a written order stays. Rows without an id or
+    without words all stay.
+    """
+    spark = df.sparkSession
+    groups = cut(near_duplicates(df, params, id_col, text_col).where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col("component_id").alias("_component"), "kept"), "groups")
+    repeated = groups.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_component").alias("_component")).where("_n > 1")
+    repeated = cut(repeated.select("_component").distinct(), "repeated")
+    gone = cut(groups.join(repeated, "_component", "left_anti").where("NOT kept").select(F.col("_id").alias("_gone")).distinct(), "gone")
+    again = cut(groups.join(repeated, "_component").select("_id").distinct(), "again")
+    single = df.join(gone.hint("merge"), df[id_col] == gone["_gone"], "left_anti")
+    if again.isEmpty():
+        discard(spark, groups)
+        return single
+
+    # Rows of these ids under numbers of their own.
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    held = rows.join(again.hint("merge"), rows["row"][id_col] == again["_id"])
+    held = cut(held.select(F.monotonically_increasing_id().alias("_number"), "_id", "row"), "rows")
+    found = near_duplicates(held.select("_number", F.col("row")[text_col].alias("text")), params, "_number", "text")
+    found = found.where("n_shingles > 0").join(held.select("_number", "_id"), "_number")
+    drop = found.groupBy("component_id").agg(F.min(F.struct("_id", "_number")).alias("first"))
+    drop = found.join(drop, "component_id").where(F.col("first._number") != F.col("_number")).select("_number")
+    stay = held.join(cut(drop, "gone").hint("merge"), "_number", "left_anti")
+    discard(spark, groups)
+    other = single.join(again.hint("merge"), single[id_col] == again["_id"], "left_anti")
+    return other.unionAll(stay.select(*(F.col("row")[c].alias(c) for c in df.columns)))

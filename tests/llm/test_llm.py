@@ -252,6 +252,20 @@ def test_one_text_of_three_words(spark):
     assert list(map(tuple, got)) == [(1, 1, 1, True)]
 
 
+def test_rows_stored_twice(spark):
+    """One of equal rows under one id stays, through the removal of passages too; another text under the id stays."""
+    draw = np.random.default_rng(2)
+    one, two, three = (" ".join(f"{x}{at}" for x in draw.integers(0, 9999, 150)) for at in "abc")
+    near = one.replace(" ", "  ", 1) + " more"
+    rows = [(1, one), (1, one), (2, two), (2, near), (2, two), (3, three), (4, three), (5, "few words"), (5, "few words"),
+            (6, ""), (6, ""), (None, "no id"), (7, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _id string").repartition(4)
+    kept = neardup.keep_one_of_each(df)
+    want = [(1, one), (2, two), (3, three), (5, "few words"), (6, ""), (6, ""), (None, "no id"), (7, None)]
+    assert kept.columns == df.columns and counted(rows_of(kept)) == counted(want)
+    assert counted(rows_of(passages.cut_repeats(kept))) == counted(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 150)]
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
