@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import bpe, hosts, lines, middles, neardup, packing, passages, rollups, sharding, topk, urls
+from resight.llm import bpe, extraction, hosts, lines, middles, neardup, packing, passages, rollups, sharding, topk, urls
 from resight.llm.common import table
 from resight.session import cut, scratch_path
 
@@ -112,3 +112,8 @@ def op11_block_rotation(spark: SparkSession, folder: str) -> DataFrame:
     made = middles.restore_texts(middles.fill_in_middle(table(spark, folder, "documents")))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                        F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op13_tag_path_ratios")
+def op13_tag_path_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract_pages(table(spark, folder, "pages"))
