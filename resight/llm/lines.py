@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resight.llm.common import drawn, flat_bytes, mixed, small_batches
@@ -49,25 +49,32 @@ def lower_ascii(text: str) -> str:
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+#: An odd factor and its inverse among 64-bit numbers: powers of one undo powers of the other.
+FACTOR = 0xD6E8FEB86659FD93
+INVERSE = pow(FACTOR, -1, 1 << 64)
+
+
+def powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def line_shingles(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """owner and hash of every `size`-byte shingle of the lines; a shorter line that is not empty is one shingle."""
-    length = np.diff(starts)
+    """owner and hash of every shingle of `size` characters of UTF-8 lines; a shorter line that is not empty is one shingle.
+
+    A shingle's hash comes from two running sums over the bytes, taken back to the shingle's own start.
+    """
+    begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
+    first = np.searchsorted(begins, starts)
+    length = np.diff(first)
     count = np.where(length >= size, length - size + 1, (length > 0).astype(np.int64))
     owner = np.repeat(np.arange(len(length)), count)
-    place = np.arange(len(owner)) + np.repeat(starts[:-1] - (np.cumsum(count) - count), count)
-    padded = np.concatenate([data, np.zeros(size + 8, dtype=np.uint8)])
-    words = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded.tobytes(), strides=(1,))
-    short = np.flatnonzero((length < size)[owner])  # these end before their last byte
-    value = np.zeros(len(owner), dtype=np.uint64)
-    for turn, at in enumerate(range(0, size, 8)):
-        word = words[place + at]
-        if size - at < 8:
-            word &= np.uint64((1 << (8 * (size - at))) - 1)
-        room = 8 * np.clip(length[owner[short]] - at, 0, 8).astype(np.uint64)
-        mask = np.where(room == 64, ~np.uint64(0), (np.uint64(1) << (room % np.uint64(64))) - np.uint64(1))
-        word[short] &= mask
-        value = mixed(value + word + drawn(8 + turn, 1)[0])
-    return owner, value
+    at = np.arange(len(owner)) + np.repeat(first[:-1] - (np.cumsum(count) - count), count)
+    begin, end = begins[at], begins[np.minimum(at + size, first[1:][owner])]
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(drawn(8, 256)[data] * powers(FACTOR, len(data)), dtype=np.uint64)])
+    own = (sums[end] - sums[begin]) * powers(INVERSE, len(data))[begin] if len(data) else np.empty(0, dtype=np.uint64)
+    return owner, mixed(own + (end - begin).astype(np.uint64))
 
 
 def line_samples(data: np.ndarray, starts: np.ndarray, params: LineParams) -> np.ndarray:
@@ -95,7 +102,7 @@ def line_samples(data: np.ndarray, starts: np.ndarray, params: LineParams) -> np
 
 
 def scan_lines(df: DataFrame, params: LineParams) -> DataFrame:
-    """id, line_no, key, bands of every line of the texts (id, text) that is not blank."""
+    """id, mark, line_no, key, bands of every line of the texts (id, mark, text) that is not blank."""
     kind = df.schema["id"].dataType.simpleString()
     bands = params.samples // params.rows
 
@@ -128,11 +135,11 @@ def scan_lines(df: DataFrame, params: LineParams) -> DataFrame:
             made = np.concatenate(made)[[place[key] for key in keys]]
             offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(keys, pa.binary()),
+                [batch.column("id").take(pa.array(owner)), batch.column("mark").take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(keys, pa.binary()),
                  pa.ListArray.from_arrays(offsets, pa.array(made.view(np.int64).ravel()))],
-                names=["id", "line_no", "key", "bands"])
+                names=["id", "mark", "line_no", "key", "bands"])
 
-    return df.mapInArrow(work, f"id {kind}, line_no int, key binary, bands array<bigint>")
+    return df.mapInArrow(work, f"id {kind}, mark bigint, line_no int, key binary, bands array<bigint>")
 
 
 #: Lines whose samples are taken together: always as many, so that samples keep the same bits.
@@ -140,16 +147,17 @@ LINES = 4096
 
 
 def line_texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and normal text of wanted lines (node, id, line_no) of the texts (id, text)."""
-    lists = wanted.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("node", "line_no")).alias("parts"))
-    met = df.join(lists.hint("merge"), F.col("id").eqNullSafe(F.col("_id"))).select("text", "parts")
+    """node and normal text of wanted lines (node, id, mark, line_no) of the texts (id, mark, text)."""
+    lists = wanted.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.collect_list(F.struct("node", "line_no")).alias("parts"))
+    met = df.join(lists.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("text", "parts")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             out = []
             for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
                 lines = text.split("\n")
-                out += [(p["node"], normal_line(lines[p["line_no"]])) for p in parts if p["line_no"] < len(lines)]
+                out += [(p["node"], normal_line(lines[p["line_no"]])) for p in parts]
             if out:
                 node, line = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(line)], names=["node", "line"])
@@ -157,13 +165,6 @@ def line_texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(work, "node bigint, line string")
 
 
-def alike(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(left), len(right)) < percent * max(len(left), len(right)):
-        return False
-    common = len(np.intersect1d(left, right, assume_unique=True))
-    return common > 0 and 100 * common >= percent * (len(left) + len(right) - common)
-
-
 def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
     data, starts = flat_bytes(column)
     owner, value = line_shingles(data, starts, size)
@@ -171,36 +172,52 @@ def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
     return [np.unique(value[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def cell_links(part: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) between the lines (node, component, side, set) of a cell, which are in order of their sides."""
+    if len(part) < 2:
+        return []
+    nodes, names, sides, sets = zip(*part)
+    root = np.unique(np.array(names), return_inverse=True)[1]
+    side = np.array([-1 if s is None else s for s in sides])
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(part)), size)
+    begin = np.cumsum(size) - size
+    both = side[0] != side[-1]
+    out = []
+    for at in range(len(part) - 1):
+        if both and side[at] == side[-1]:
+            break  # the last side has met all others
+        fit = root != root[at]
+        fit[: at + 1] = False
+        if both:
+            fit &= side != side[at]
+        fit &= 100 * np.minimum(size, size[at]) >= percent * np.maximum(size, size[at])
+        if not fit.any():
+            continue
+        rest = slice(begin[at + 1], None)
+        mask = fit[owner[rest]]
+        theirs, whose = flat[rest][mask], owner[rest][mask]
+        found = np.searchsorted(sets[at], theirs)
+        same = sets[at][np.minimum(found, size[at] - 1)] == theirs
+        common = np.bincount(whose[same], minlength=len(part))
+        linked = np.flatnonzero(fit & (common > 0) & (100 * common >= percent * (size + size[at] - common)))
+        for other in linked[np.unique(root[linked], return_index=True)[1]].tolist():
+            out.append((nodes[at], nodes[other]))
+            root[root == root[other]] = root[at]
+    return out
+
+
 def linked_cells(rows: DataFrame, params: LineParams) -> DataFrame:
     """Links (a, b) found in cells of rows (cell columns c1, c2, c3, node, component, side, line).
 
     Lines of different components are compared unless links of the cell have joined them already. In a cell whose
     `side` has two values, only lines of different sides are compared; a side of null is compared with all.
     """
-    def links(part: list[tuple]) -> list[tuple]:
-        root: dict = {}
-
-        def find(c):
-            root.setdefault(c, c)
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        out = []
-        both = len({r[2] for r in part}) > 1
-        for at, (node, component, side, own) in enumerate(part):
-            for other, there, far, shingles in part[at + 1 :]:
-                if (both and side == far) or find(component) == find(there) or not alike(own, shingles, params.percent):
-                    continue
-                root[find(component)] = find(there)
-                out.append((node, other))
-        return out
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part = None, []
 
         def give() -> Iterator[pa.RecordBatch]:
-            found = links(part)
+            found = cell_links(part, params.percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
@@ -223,19 +240,31 @@ def line_groups(df: DataFrame, params: LineParams = LineParams(), id_col: str =
 
     The keeper is the first line, by id and number, of those that links lead to; the line is kept if it is its own.
     Lines are parts of the text between line feeds. Blank lines, null and empty texts give no rows. Rows that repeat an
-    id repeat its lines: equal lines of equal id and number count as one. Null ids come first. Lines shorter than a
-    shingle link with equal ones only; very long lines are compared whole. An empty table gives an empty one; other
-    columns are not read.
+    id repeat its lines: equal lines of equal id and number count as one if their whole texts are equal; of different
+    texts under one id (or under none) a line number's keeper is the line of the text with the smaller hash. Null ids
+    come first. Lines shorter than a shingle link with equal ones only; very long lines are compared whole. An empty
+    table gives an empty one; other columns are not read.
     """
+    return marked_groups(df, params, id_col, text_col).drop("mark")
+
+
+def text_mark(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def marked_groups(df: DataFrame, params: LineParams, id_col: str, text_col: str) -> DataFrame:
+    """`line_groups`, with the mark of the text that a line stands in."""
     spark = df.sparkSession
-    slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = df.select(F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = cut(scan_lines(slim, params), "lines")
-    first = F.struct("id", "line_no")
+    first = F.struct("id", "line_no", "mark")
     nodes = lines.groupBy("key").agg(F.min(first).alias("first"), F.min_by("bands", first).alias("bands"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     buckets = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("centre")).where("_n > 1"), "buckets")
     members = cut(banded.join(buckets.hint("merge"), "band"), "members")
+    discard(spark, buckets)
     named = members.select("node").distinct()
     places = nodes.join(named, "node").select("node", "first.*")
     texts = cut(line_texts(slim, places).dropDuplicates(["node"]), "texts")
@@ -254,6 +283,7 @@ def line_groups(df: DataFrame, params: LineParams = LineParams(), id_col: str =
     groups = cut(connected_components(links), "components")
     named = cut(members.where("_n > 2").join(groups, "node", "left").select(
         "band", "_n", "node", F.coalesce("component", "node").alias("component")), "named")
+    discard(spark, members, groups)
     ends = named.groupBy("band", "_n").agg(
         F.min("component").alias("_least"), F.max("component").alias("_most"), F.min("node").alias("_first"), F.max("node").alias("_last"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_xor"))
@@ -265,28 +295,31 @@ def line_groups(df: DataFrame, params: LineParams = LineParams(), id_col: str =
         F.col("band").alias("c1"), F.least("_own", "_other").alias("c2"), F.greatest("_own", "_other").alias("c3"),
         "node", "component", F.col("_own").alias("side"))
     more = cut(linked_cells(cells.join(texts, "node"), params), "links")
+    discard(spark, texts, named)
     groups = cut(connected_components(links.unionAll(more)), "components")
 
     joined = nodes.join(groups, "node", "left").select("key", "first", F.coalesce("component", "node").alias("component"))
     keepers = joined.groupBy("component").agg(F.min("first").alias("keeper"))
     by_key = cut(joined.join(keepers, "component").select("key", "keeper"), "keepers")
-    discard(spark, buckets, members, texts, links, more, named)
-    out = lines.select("id", "line_no", "key").join(by_key.hint("merge"), "key")
-    return out.select(F.col("id").alias(id_col), "line_no", F.col("keeper.id").alias("keeper_id"),
-                      F.col("keeper.line_no").alias("keeper_line"),
-                      (F.col("keeper.id").eqNullSafe(F.col("id")) & (F.col("keeper.line_no") == F.col("line_no"))).alias("kept"))
+    discard(spark, nodes, links, more, groups)
+    out = lines.select("id", "mark", "line_no", "key").join(by_key.hint("merge"), "key")
+    own = F.struct("id", "line_no", "mark")
+    return out.select(F.col("id").alias(id_col), "mark", "line_no", F.col("keeper.id").alias("keeper_id"),
+                      F.col("keeper.line_no").alias("keeper_line"), F.col("keeper").eqNullSafe(own).alias("kept"))
 
 
 def drop_lines(df: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` with the lines taken out of the text that are not kept; all columns stay, a null text too.
 
-    Rows that repeat an id lose the lines that any of them loses at the same number.
+    Rows of equal id and text lose the same lines; other rows of an id, or without one, are told apart by their texts.
+    Blank lines stay. An empty table gives an empty one.
     """
-    gone = line_groups(df, params, id_col, text_col).where("NOT kept")
-    lists = gone.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = marked_groups(df, params, id_col, text_col).where("NOT kept")
+    lists = gone.groupBy(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("line_no").alias("_gone"))
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
     lists = cut(lists, "gone").hint("merge")
-    met = packed.join(lists, packed["row"][id_col].eqNullSafe(lists["_id"]), "left")
+    same = packed["row"][id_col].eqNullSafe(lists["_id"]) & (text_mark(packed["row"][text_col]) == lists["_mark"])
+    met = packed.join(lists, same, "left")
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:

@@ -280,7 +280,7 @@ def test_fuzzy_lines(request, name):
     for doc, text in rows_of(df):
         for no, line in enumerate((text or "").split("\n")):
             if lines.normal_line(line):
-                seen[doc, no] = lines.normal_line(line).encode()
+                seen[doc, no] = lines.normal_line(line)
     order = sorted(seen, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
     place = {k: i for i, k in enumerate(order)}
     sets = [frozenset(seen[k][i : i + 8] for i in range(len(seen[k]) - 7)) or frozenset([seen[k]]) for k in order]
@@ -302,6 +302,34 @@ def test_fuzzy_lines(request, name):
         assert texts[1] is None and texts[6] == "one two" and texts[7] == "" and texts[13] == "\nshort"
 
 
+def test_lines_under_one_id(spark):
+    """Different texts under one id, or under none, each with a near copy under an id of its own: every link is found."""
+    draw = np.random.default_rng(3)
+    for key in (0, None):
+        alone = ["".join(chr(c) for c in draw.integers(97, 123, 60)) for _ in range(20)]
+        rows = [(key, x) for x in alone] + [(100 + i, f"{x}z") for i, x in enumerate(alone)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = lines.line_groups(df).collect()
+        assert len(got) == 40 and sum(r["kept"] for r in got) == 20
+        assert all(r["keeper_id"] == key and r["kept"] == (r["doc_id"] == key) for r in got)
+        assert counted(rows_of(lines.drop_lines(df))) == counted([(key, x) for x in alone] + [(100 + i, "") for i in range(20)])
+    shared = "a line that all of the three texts have in common"
+    rows = [(None, f"{x}\n{shared}") for x in alone[:3]] + [(None, f"{alone[3]}\n{alone[4]}")] * 2
+    got = [r["text"] for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for text in got for x in text.split("\n")) == sorted([*alone[:3], shared, *alone[3:5] * 2])
+
+
+def test_character_shingles():
+    texts = ["日本語の文字列です、長い", "", "ab", "é" * 9, "plain ascii line", "日本語の文字列です"]
+    raw = [x.encode() for x in texts]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    owner, value = lines.line_shingles(np.frombuffer(b"".join(raw), dtype=np.uint8), starts, 8)
+    sets = [set(value[owner == i].tolist()) for i in range(len(texts))]
+    want = [{x[i : i + 8] for i in range(len(x) - 7)} or {x} - {""} for x in texts]
+    assert [len(s) for s in sets] == [len(w) for w in want]
+    assert all(len(a & b) == len(v & w) for a, v in zip(sets, want) for b, w in zip(sets, want))
+
+
 def test_bands_of_fuzzy_lines(spark):
     """Pairs of long lines of similarity 0.75 exactly: 560 shingles, of which ten changed letters alter eight each."""
     draw = np.random.default_rng(1)
@@ -311,7 +339,7 @@ def test_bands_of_fuzzy_lines(spark):
     rows = [(i, bytes(x.astype(np.uint8).tolist()).decode()) for i, x in enumerate(np.concatenate([left, right]))]
     got = lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert len(got) == 4000 and all(r["keeper_id"] in (r["doc_id"], r["doc_id"] - 2000) for r in got)
-    assert sum(r["kept"] for r in got) - 2000 <= 0.005 * 2000
+    assert sum(r["kept"] for r in got) - 2000 <= 0.004 * 2000  # 4 are expected, 8 are two standard errors above
 
 
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
