@@ -100,17 +100,17 @@ def base_failed(rules: HostRules):
 def host_verdicts(spark: SparkSession, judged: DataFrame, rules: HostRules) -> DataFrame:
     """host, docs, failures, rate (shrunk), refused: one row per host, from `judged` (host, base_failed).
 
-    The prior is fitted by moments over hosts weighted by their documents: with mean rate m and variance v of the rates,
-    its strength is m(1-m)/v - 1, at least 1 and at most 1e6 (hosts that hardly differ). With no failure anywhere, or
-    nothing but failures, the prior is Beta(m, 1-m).
+    The prior is fitted by moments over hosts weighted by their documents. With mean rate m, the variance of the rates
+    less what chance alone gives hosts of one rate, m(1-m) * hosts / documents, is v; the prior's strength is
+    m(1-m)/v - 1, at least 1 and at most 1e6 (hosts that differ no more than by chance).
     """
     hosts = cut(judged.where(F.col("host").isNotNull()).groupBy("host").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failures")), "hosts")
-    docs, failures, squares = hosts.agg(
-        F.sum("docs"), F.sum("failures"), F.sum(F.col("failures") * F.col("failures") / F.col("docs"))).first()
+    count, docs, failures, squares = hosts.agg(
+        F.count(F.lit(1)), F.sum("docs"), F.sum("failures"), F.sum(F.col("failures") * F.col("failures") / F.col("docs"))).first()
     mean = failures / docs if docs else 0.0
-    spread = squares / docs - mean * mean if docs else 0.0
-    strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 1e-12 else 1.0
+    spread = squares / docs - mean * mean - mean * (1 - mean) * count / docs if docs else 0.0
+    strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 1e-12 else 1e6
     rate = (F.col("failures") + F.lit(mean * strength)) / (F.col("docs") + F.lit(strength))
     return hosts.withColumn("rate", rate).withColumn("refused", F.col("rate") > rules.max_host_rate)
 
@@ -133,7 +133,11 @@ def judge_documents(
 
 
 def keep_documents(df: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """The rows of `df` that are kept, as they came: for a filtering stage.
+    """The rows of `df` that are kept, as they came: for a filtering stage. The host is the column `source`.
+
+    Nulls, empty texts and repeated rows are judged as by `judge_documents`: a null or empty text fails, a document
+    without a source is judged by the rules alone, and ties and repeated rows stay or go together. An empty table gives
+    an empty one. Other columns pass through.
 
     Measures every document twice in place of carrying texts through a shuffle: once to judge the hosts, once to filter.
     """

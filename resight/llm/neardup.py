@@ -42,6 +42,8 @@ class NearDupParams:
     bits: int = 4096
     #: Pairs estimated below this are dropped: 5.5 standard errors below 0.75.
     least_estimate: float = 0.67
+    #: Pairs with a set of fewer shingles are never dropped: samples that fall together move their estimate by whole steps.
+    exact_below: int = 64
     #: Members of a bucket or of one document's pairs that meet in one task.
     block: int = 256
     #: The same where full sets meet in cells: members of a part, and shingles of its members together.
@@ -90,16 +92,18 @@ def _bits(words: Column) -> Column:
 
 
 def close_pairs(pairs: DataFrame, nodes: DataFrame, params: NearDupParams) -> DataFrame:
-    """The pairs (a, b) of at least the least estimate. The formula is that of `estimate`, in columns."""
+    """The pairs (a, b) of at least the least estimate, or with a small set. The formula is that of `estimate`, in columns."""
     odd, bins = params.bits // 64, params.bins // 64
-    left = nodes.select(F.col("id").alias("a"), F.col("sketch").alias("_l"))
-    right = nodes.select(F.col("id").alias("b"), F.col("sketch").alias("_r"))
+    left = nodes.select(F.col("id").alias("a"), F.col("n_shingles").alias("_m"), F.col("sketch").alias("_l"))
+    right = nodes.select(F.col("id").alias("b"), F.col("n_shingles").alias("_n"), F.col("sketch").alias("_r"))
     met = pairs.join(left, "a").join(right, "b")
     parity = _bits(F.zip_with(F.slice("_l", 1, odd), F.slice("_r", 1, odd), lambda x, y: x.bitwiseXOR(y)))
     either = _bits(F.zip_with(F.slice("_l", odd + 1, bins), F.slice("_r", odd + 1, bins), lambda x, y: x.bitwiseOR(y)))
     filled = _bits(F.slice("_l", odd + 1, bins)) + _bits(F.slice("_r", odd + 1, bins))
     differing = F.log(F.greatest(1 - 2 * parity / params.bits, F.lit(1e-9))) * (-params.bits / 2)
-    return met.where((filled - differing) / 2 / F.greatest(either, F.lit(1)) >= params.least_estimate).select("a", "b")
+    guess = (filled - differing) / 2 / F.greatest(either, F.lit(1))
+    small = F.least("_m", "_n") < params.exact_below
+    return met.where(small | (guess >= params.least_estimate)).select("a", "b")
 
 
 def alike(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -192,6 +196,8 @@ def cell_pairs(
         either = np.bitwise_count(sketch[near, odd:] | sketch[at, odd:]).sum(axis=1, dtype=np.int64)
         guess = estimate(parity, filled[near], filled[at], either, params)
         good = guess >= (params.percent / 100 if likely else params.least_estimate)
+        if not likely:
+            good |= np.minimum(size[near], size[at]) < params.exact_below
         near, guess = near[good], guess[good]
         if near.size and not likely:
             shared = bands[near] == bands[at]

@@ -69,8 +69,8 @@ def stretches(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndar
     if n <= 0:
         return none
     hashes = gram_hashes(data)
-    bits = np.uint64(max(1, int(len(hashes) - 1).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    # Of a hash always the same bits count, however many texts lie end to end: equal strings have equal anchors.
+    low = np.uint64(0xFFFFFFFF)
     least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     window, size = width - GRAM + 1, 1
     while 2 * size <= window:

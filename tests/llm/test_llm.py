@@ -91,8 +91,8 @@ def test_host_rules(request, name):
             failed[w[1]] += w[-1]
     n = sum(docs_of.values())
     mean = sum(failed.values()) / n if n else 0
-    spread = sum(f * f / docs_of[h] for h, f in failed.items()) / n - mean * mean if n else 0
-    strength = min(max(mean * (1 - mean) / spread - 1, 1), 1e6) if spread > 1e-12 else 1
+    spread = sum(f * f / docs_of[h] for h, f in failed.items()) / n - mean * mean - mean * (1 - mean) * len(docs_of) / n if n else 0
+    strength = min(max(mean * (1 - mean) / spread - 1, 1), 1e6) if spread > 1e-12 else 1e6
     for r in got:
         rate = (failed[r["host"]] + mean * strength) / (docs_of[r["host"]] + strength) if r["host"] is not None else None
         assert (rate is None and r["host_rate"] is None) or abs(rate - r["host_rate"]) < 1e-9
@@ -102,6 +102,25 @@ def test_host_rules(request, name):
     assert counted(r["doc_id"] for r in kept.collect()) == counted(r["doc_id"] for r in got if r["kept"])
 
 
+def test_bad_hosts(spark):
+    """A host most of whose documents fail is refused with its good ones; hosts that differ by chance alone are shrunk to the mean."""
+    good, bad = " ".join(f"word{i}" for i in range(60)), "too short"
+    rows = [(i, good if i % 10 else bad, "clean") for i in range(200)] + [(1000 + i, bad if i % 10 else good, "spam") for i in range(200)]
+    rows += [(2000, bad, "rare"), (2001, good, None), (2002, bad, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    judged = {r["doc_id"]: r for r in hosts.judge_documents(df).collect()}
+    kept = {i for i, r in judged.items() if r["kept"]}
+    assert kept == {i for i in range(200) if i % 10} | {2001}
+    assert judged[1000]["base_failed"] is False and judged[1000]["host_rate"] > 0.85 and judged[2000]["host_rate"] < 0.9
+    assert {r["doc_id"] for r in hosts.keep_documents(df).collect()} == kept
+    draw = np.random.default_rng(1)
+    alike = [(i, bad if draw.random() < 0.2 else good, f"h{i % 20}") for i in range(1000)]
+    rates = {r["host_rate"] for r in hosts.judge_documents(spark.createDataFrame(alike, "doc_id long, text string, source string")).collect()}
+    assert max(rates) - min(rates) < 0.08  # the plain rates lie further apart
+    plain = [np.mean([t == bad for _, t, h in alike if h == f"h{k}"]) for k in range(20)]
+    assert max(plain) - min(plain) > 0.15
+
+
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
 def test_packing(request, name):
     df = request.getfixturevalue(name)
@@ -252,6 +271,31 @@ def test_one_text_of_three_words(spark):
     assert list(map(tuple, got)) == [(1, 1, 1, True)]
 
 
+def test_links_of_small_sets(spark):
+    """Pairs of seven and eight words, similarity 0.75 exactly: none is lost."""
+    draw = np.random.default_rng(6)
+    rows = []
+    for i in range(3000):
+        long = [f"w{x}" for x in draw.integers(0, 10**9, 8)]
+        rows += [(2 * i, " ".join(long)), (2 * i + 1, " ".join(long[:7]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 6000 and all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
+def test_anchors_of_batches():
+    """Equal strings have equal anchors, whatever lies before or behind them."""
+    draw = np.random.default_rng(7)
+    shared = draw.integers(97, 123, 900).astype(np.uint8)
+    found = []
+    for before, behind in ((0, 0), (17, 100000), (300000, 5)):
+        parts = [draw.integers(97, 123, before), shared, draw.integers(97, 123, behind)]
+        data = np.concatenate(parts).astype(np.uint8)
+        starts = np.cumsum([0, *map(len, parts)])
+        owner, start, count, gram = passages.stretches(data, starts, 400)
+        found.append([(s, n, g) for o, s, n, g in zip(owner.tolist(), start.tolist(), count.tolist(), gram.tolist()) if o == 1])
+    assert found[0] == found[1] == found[2] and found[0]
+
+
 def test_rows_stored_twice(spark):
     """One of equal rows under one id stays, through the removal of passages too; another text under the id stays."""
     draw = np.random.default_rng(2)
