@@ -118,7 +118,9 @@ def pack_pieces(pieces: DataFrame, capacity: int, shard_rows: int = SHARD_ROWS)
     """The columns of `pieces` (length of 1 to capacity, and others) with sequence_id and offset.
 
     A piece of full length is a sequence by itself. Every other one is dealt to a shard by a hash of its place in the
-    table, so pieces of one document or of equal rows spread; a shard is `shard_rows` pieces in the mean.
+    table, so pieces of one document or of equal rows spread; a shard is `shard_rows` pieces in the mean. Rows without a
+    length, or with one outside 1 to capacity, are the caller's error; other columns may be null; ties and repeated rows
+    each get a place of their own; an empty table gives an empty one.
     """
     spark = pieces.sparkSession
     names = pieces.columns

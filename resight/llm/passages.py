@@ -355,7 +355,8 @@ def cut_repeats(
 ) -> DataFrame:
     """The rows of `df` with repeated byte strings taken out of the text; all columns stay, a null text too.
 
-    A character that a cut splits goes as a whole.
+    A character that a cut splits goes as a whole. Rows are told apart by place, not by id: repeated rows lose all of a
+    text of at least `width` bytes, shorter and empty texts stay, and an empty table gives an empty one.
     """
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     keyed, lists = with_runs(packed, params, "text")

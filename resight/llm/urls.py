@@ -65,10 +65,15 @@ def same_page(url: Column) -> Column:
     return F.concat(lower_ascii(head), F.substring(bare, F.length(head) + 1, F.length(bare)))
 
 
-#: A canonical link or an immediate refresh in a page's head, attributes in either order.
+#: What is no markup of the page: comments, scripts and raw text.
+NOT_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea|title)\b.*?(?:</\1\s*>|\z)"
+#: The character references that urls in attributes hold.
+REFERENCES = (("&#38;", "&"), ("&#x26;", "&"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#x2f;", "/"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+#: A canonical link or an immediate refresh (after 0 seconds), attributes in either order.
 LINKS = (
     r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>;]+)""",
+    r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?\s*0+(?:\.0*)?\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)""",
 )
 
 
@@ -83,10 +88,17 @@ def absolute(url: Column, target: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """a, b: a page's url and the url its canonical link or refresh names, both as `same_page` writes them."""
-    found = F.array_union(*(F.regexp_extract_all(F.col(html_col), F.lit(pattern), 1) for pattern in LINKS))
-    links = pages.where(F.col(url_col).contains("://") & F.col(html_col).isNotNull()).select(
-        F.col(url_col).alias("_url"), F.explode(found).alias("_target")).where(F.col("_target") != "")
+    """a, b: a page's url and the url its canonical link or refresh names, both as `same_page` writes them.
+
+    Links in comments, scripts and raw text do not count, nor does a refresh after a while. Only pages that name one of
+    the two words at all are searched further.
+    """
+    named = pages.where(F.col(url_col).contains("://") & F.col(html_col).rlike(r"(?i)canonical|refresh"))
+    markup = F.regexp_replace(F.col(html_col), NOT_MARKUP, " ")
+    found = F.array_union(*(F.regexp_extract_all(markup, F.lit(pattern), 1) for pattern in LINKS))
+    links = named.select(F.col(url_col).alias("_url"), F.explode(found).alias("_target")).where(F.col("_target") != "")
+    for reference, sign in REFERENCES:
+        links = links.withColumn("_target", F.replace("_target", F.lit(reference), F.lit(sign)))
     return links.select(same_page(F.col("_url")).alias("a"),
                         same_page(absolute(F.col("_url"), F.col("_target"))).alias("b")).where("a != b").distinct()
 

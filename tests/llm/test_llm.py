@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from conftest import SMALL
@@ -317,11 +318,10 @@ def test_components(spark):
     assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["docs", "odd", "none"])
-def test_fuzzy_lines(request, name):
-    df = request.getfixturevalue(name)
+def brute_lines(rows):
+    """(id, line number, keeper's id, keeper's number, kept) of every line that is not blank."""
     seen = {}
-    for doc, text in rows_of(df):
+    for doc, text in rows:
         for no, line in enumerate((text or "").split("\n")):
             if lines.normal_line(line):
                 seen[doc, no] = lines.normal_line(line)
@@ -334,7 +334,13 @@ def test_fuzzy_lines(request, name):
             holders[x].append(at)
     met = {(a, b) for h in holders.values() if len(h) < 400 for a in h for b in h if a < b}
     group = merge(range(len(order)), [(a, b) for a, b in met if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
-    want = {(*k, *order[group[place[k]]], order[group[place[k]]] == k) for k in order}
+    return {(*k, *order[group[place[k]]], order[group[place[k]]] == k) for k in order}
+
+
+@pytest.mark.parametrize("name", ["docs", "odd", "none"])
+def test_fuzzy_lines(request, name):
+    df = request.getfixturevalue(name)
+    want = brute_lines(rows_of(df))
     got = {tuple(r) for r in lines.line_groups(df).collect()}
     assert len(got ^ want) <= 2 * 0.002 * len(want)  # bands miss a few at the border
     if name != "docs":
@@ -446,6 +452,81 @@ def test_url_rules(spark):
     assert urls.judge_pages(df).count() == len(pages) and urls.judge_pages(df.limit(0)).count() == 0
 
 
+def brute_url(url):
+    """The page a url names, host and path, by plain string work."""
+    if url is None or "://" not in url:
+        return None, "", ""
+    bare = url.split("#")[0]
+    scheme, rest = bare.split("://", 1)
+    host = re.split(r"[/?]", rest)[0]
+    path = re.split(r"[?#]", rest[len(host) :])[0]
+    low = host.translate(lines.LOWER)
+    return f"{scheme.translate(lines.LOWER)}://{low}{rest[len(host):]}", low, path
+
+
+def brute_rule(host, path):
+    rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    fits = [(r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    return max(fits, key=lambda x: len(x[0]), default=(None, None))
+
+
+def test_redirects_of_the_pages(spark):
+    """All pages with redirects in chains and a hub among their urls, links of every kind, against a union-find."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    urls_of = [r["url"] for r in pages]
+    draw = np.random.default_rng(9)
+    edges = [(urls_of[a], urls_of[b]) for a, b in draw.integers(0, len(urls_of), (60, 2)).tolist()]
+    edges += [("https://hub.example.com/en/", u) for u in urls_of[:15]] + [("https://x.net/1", "https://hub.example.com/en/"), (None, "a"), ("a", "a")]
+    edges += [(f"https://chain.info/{i}", f"https://chain.info/{i + 1}") for i in range(30)] + [("https://chain.info/30", "https://y.example.net/en/z")]
+    added = [
+        ("https://c.info/1", '<link rel=canonical href="https://x.net/?a=1&amp;b=2">', "https://x.net/?a=1&b=2"),
+        ("https://c.info/2", "<!-- <link rel=canonical href=https://x.net/> -->", None),
+        ("https://c.info/3", "<script>'<link rel=canonical href=https://x.net/>'</script>", None),
+        ("https://c.info/4", '<meta http-equiv=refresh content="5; url=https://x.net/">', None),
+        ("https://c.info/5", "<META content='0;URL=https://x.net/5' HTTP-EQUIV='Refresh'>", "https://x.net/5"),
+        ("https://c.info/6", '<meta http-equiv="refresh" content="0.0; url=https://x.net/6;s=1">', "https://x.net/6;s=1"),
+        ("https://chain.info/7", "", None), ("HTTPS://Chain.info/9#x", None, None), ("nothing", "<link rel=canonical href=https://x.net/>", None),
+    ]
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pages] + [(10**6 + i, u, h) for i, (u, h, _) in enumerate(added)]
+    links = edges + [(u, t) for u, _, t in added if t]
+    known = [(brute_url(a)[0], brute_url(b)[0]) for a, b in links]
+    known = [(a, b) for a, b in known if a and b]
+    group = merge(sorted({x for e in known for x in e}), known)
+    held = defaultdict(set)
+    for node, root in group.items():
+        held[root].add(brute_rule(*brute_url(node)[1:])[1])
+    want = []
+    for page, url, _ in rows:
+        node, host, path = brute_url(url)
+        rule, verdict = brute_rule(host, path)
+        around = held[group[node]] if node in group else set()
+        want.append((page, host, path, rule, verdict or ("allow" if "allow" in around else "block" if "block" in around else "allow")))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    redirects = spark.createDataFrame(edges, "a string, b string")
+    assert counted(map(tuple, urls.judge_pages(df, redirects=redirects).collect())) == counted(want)
+    assert {v for *_, r, v in want if r is None} == {"allow", "block"}
+
+
+def test_compaction(spark, tmp_path):
+    """Totals and idempotence through compactions, and a compaction broken off."""
+    total = rollups.Rollup(spark, str(tmp_path / "rollup"), compact_after=3)
+    schema = "source string, lang string, tokenizer string, docs long, tokens long, bytes long"
+    for i in range(8):
+        changes = spark.createDataFrame([("a", None, "v", 1, i, 2), (None, "en", "v", 1, 1, 1)], schema)
+        assert total.commit(f"b{i}", changes) and not total.commit(f"b{i}", changes)
+        assert len(total.places()) <= 4
+    assert not any(total.commit(f"b{i}", changes) for i in range(8)) and total.generation() >= 2
+    want = {("a", None, "v", 8, 28, 16), (None, "en", "v", 8, 8, 8)}
+    assert {tuple(r) for r in total.totals().collect()} == want
+    (tmp_path / "rollup" / "ledger" / str(total.generation() + 1) / "start").mkdir(parents=True)
+    again = rollups.Rollup(spark, str(tmp_path / "rollup"), compact_after=3)
+    assert {tuple(r) for r in again.totals().collect()} == want and not again.commit("b0", changes)
+    again.compact()
+    assert {tuple(r) for r in again.totals().collect()} == want and len(again.places()) == 1
+    with pytest.raises(ValueError):
+        again.commit(None, changes)
+
+
 def test_rollups(spark, odd, tmp_path):
     version = {"v": RANKS}
     counts = rollups.count_tokens(odd, version, PATTERN).selectExpr("*", "'v' AS tokenizer", "tokens_v AS tokens").cache()
@@ -472,13 +553,60 @@ def test_queries_run(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def brute_cut(rows, width):
+    """The texts without the bytes that repeated strings of this width cover."""
+    where = defaultdict(int)
+    raws = [(doc, text.encode()) for doc, text in rows]
+    for _, raw in raws:
+        for i in range(len(raw) - width + 1):
+            where[raw[i : i + width]] += 1
+    for doc, raw in raws:
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - width + 1):
+            if where[raw[i : i + width]] > 1:
+                gone[i : i + width] = b"\1" * width
+        yield doc, bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
+
+
 def test_pipeline(spark):
+    """What every stage returns for what the stage before it returned, against brute force."""
     import corpus_pipeline
 
-    columns = spark.read.parquet(f"{SMALL}/documents.parquet").columns
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, SMALL).collect(), docs.schema)
-        assert docs.columns == columns and docs.count() > 0
-    packed = corpus_pipeline.run(spark, SMALL)
-    assert packed.select("doc_id").distinct().count() == docs.count()
+    source = spark.read.parquet(f"{SMALL}/documents.parquet")
+    # A passage of 51 words that two documents share, in lines of their own, and a document of lines that others have.
+    words_of = np.random.default_rng(8).permutation(10**5).astype(str)
+    passage = " ".join(words_of[:51])
+    front = [" ".join(words_of[100 + 300 * i : 350 + 300 * i]) for i in range(2)]
+    first = source.where("text IS NOT NULL AND n_chars > 400").orderBy("doc_id").first()["text"]
+    added = [(10**6 + i, f"{x} {passage} {x[::-1]}", "en", "planted", 0) for i, x in enumerate(front)] + [(10**7, first, "en", "planted", 0)]
+    docs = source.unionByName(spark.createDataFrame(added, "doc_id long, text string, lang string, source string, n_chars long").withColumn(
+        "n_chars", F.length("text").cast("long")))
+    removed = 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = rows_of(docs)
+        docs = spark.createDataFrame(stage(spark, docs, SMALL).collect(), source.schema)
+        after = rows_of(docs)
+        assert docs.columns == source.columns and docs.where("n_chars != length(text)").count() == 0 < len(after)
+        if name == "quality rules":
+            measured = [(r, brute_measures(r[1])) for r in before]
+            want = [r for r, m in measured if m[0] >= 50 and 100 * m[4] <= 50 * m[0]]
+        elif name == "line dedup":
+            gone = {k[:2] for k in brute_lines(before) if not k[4]}
+            want = [(d, "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone)) for d, t in before]
+            want = [(d, t) for d, t in want if words(t)]
+            assert 10**7 not in {d for d, _ in want}
+        elif name == "near-duplicate documents":
+            sets = [shingles(t) for _, t in before]
+            group = merge([d for d, _ in before], [(before[a][0], before[b][0]) for a in range(len(sets)) for b in range(a)
+                                                   if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+            want = [(d, t) for d, t in before if group[d] == d]
+        else:
+            want = [(d, t) for d, t in brute_cut(before, corpus_pipeline.PASSAGE) if words(t)]
+            removed = sum(len(t) for _, t in before) - sum(len(t) for _, t in want)
+            assert not any(passage in t for _, t in after)
+        assert counted(after) == counted(want), name
+    assert removed >= 2 * len(passage)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {d for d, _ in after}
+    assert packed.groupBy("sequence_id").sum("length").groupBy().max().first()[1] <= 1024
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
