@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.llm import hosts, lines, neardup, packing, passages
+from resight.llm.common import WORD_PATTERN
 from resight.session import cut
 
 
@@ -20,14 +21,23 @@ def with_lengths(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
+def with_words(docs: DataFrame) -> DataFrame:
+    """Documents that still have a word; every one had when it passed the quality rules."""
+    return docs.where(F.col("text").rlike(WORD_PATTERN))
+
+
+#: Bytes of a repeated passage: 51 words are seldom under 250 bytes, and hardly ever under 200.
+PASSAGE = 200
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or come from a host most of whose documents fail, go."""
     return hosts.keep_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that are nearly the same the first stays; no document goes."""
-    return with_lengths(lines.drop_lines(docs))
+    """Of lines that are nearly the same the first stays; documents go that consist of later ones only."""
+    return with_lengths(with_words(lines.drop_lines(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 that stand anywhere else go; no document goes."""
-    return with_lengths(passages.cut_repeats(docs))
+    """Byte strings of `PASSAGE` that stand anywhere else go; documents go that consist of them only."""
+    return with_lengths(with_words(passages.cut_repeats(docs, passages.PassageParams(width=PASSAGE))))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +65,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed_sequences),
 ]
 
-#: Shingle components, suffix arrays and tokenizers are beyond SQL; the tests hold each stage against brute force.
+#: Shingle components, suffix arrays and tokenizers are beyond SQL; the tests hold what each stage returns against brute force.
 ORACLE_SQL = None
 
 
