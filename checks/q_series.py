@@ -126,6 +126,21 @@ def _(t):
     return _warped(t, "euclidean")
 
 
+@query("c11_pruned_pairs_short", f"""WITH {week_series_sql(16)}, {warp_sql(16, 4, "chi_square")}
+SELECT query_id, target_id, round(score, 6) + 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY score, target_id)::INTEGER AS rank
+FROM ws_best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, target_id) <= 5""")
+def _(t):
+    queries, database = week_series(t, 16)
+    found = warping.nearest_individuals(queries, database, 5, WarpParams(window=4, length=16), 2)
+    return found.withColumn("score", V.tidy(F.col("score")))
+
+
+@query("c11_pruned_pairs")
+def _(t):
+    queries, database = week_series(t, WarpParams().length)
+    return warping.nearest_individuals(queries, database, 5, WarpParams(), 2)
+
+
 @query("i3_distance_to_individual", f"""WITH {week_series_sql(16)}, {warp_sql(16, 4, "chi_square", "bottlenose")},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, target_id) AS rank FROM ws_best)
 SELECT q.query_id, q.query_id // 10 AS ind, coalesce(r.rank, -1) AS rank FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.target_id = q.query_id // 10""")

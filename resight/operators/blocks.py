@@ -8,8 +8,15 @@ Spark combines before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from resight.session import cut_and_observe
 
 
 def large_keys(df: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
@@ -67,3 +74,52 @@ def meet(
         spread(right, "r_salt", "l_salt", large_left), [*keys, "l_salt", "r_salt"]
     )
     return met.repartition(tasks) if deal_out else met
+
+
+def pack_rows(df: DataFrame, block_rows: int, name: str) -> tuple[DataFrame, int]:
+    """Written rows (no, `name` array<struct>) of up to `block_rows` rows of a partition each, and how many there are.
+
+    For rows that all meet all others there is no key to shuffle by: blocks are filled where the rows are.
+    """
+    block = T.StructType([T.StructField(name, T.ArrayType(df.schema))])
+    kind = to_arrow_schema(block).field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def give(rows: int) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held[:] = [whole.slice(rows)] if whole.num_rows > rows else []
+            part = whole.slice(0, rows)
+            items = pa.StructArray.from_arrays([part.column(f.name).cast(f.type) for f in kind.value_type], fields=list(kind.value_type))
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items).cast(kind)], names=[name])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            while sum(b.num_rows for b in held) >= block_rows:
+                yield give(block_rows)
+        if held:
+            yield give(block_rows)
+
+    packed = df.mapInArrow(run, block).withColumn("no", F.monotonically_increasing_id())
+    table, seen = cut_and_observe(packed, "blocks", F.count(F.lit(1)).alias("n"))
+    return table, seen["n"]
+
+
+def meet_all(left: DataFrame, right: DataFrame, n_left: int, n_right: int, per_key: int) -> DataFrame:
+    """Every left block beside every right block: a join on a grid of keys with about `per_key` blocks of each side, or fewer
+    while the grid is small: its keys are dealt to tasks by hash, which is even only for many of them.
+
+    Each side is shuffled once, into the session's number of shuffle partitions: meetings are few but expensive, so they
+    must not be merged into few tasks by their byte size.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, cols = (max(-(-n // per_key), min(n, 24), 1) for n in (n_left, n_right))
+
+    def dealt(side: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
+        spot = F.pmod(F.xxhash64("no"), F.lit(parts)).cast("int")
+        return side.withColumn(own, spot).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).drop("no").repartition(
+            tasks, "_row", "_col")
+
+    return dealt(left, "_row", rows, "_col", cols).hint("merge").join(dealt(right, "_col", cols, "_row", rows), ["_row", "_col"])

@@ -146,6 +146,68 @@ def test_warping(spark, kind):
         assert r.distance == pytest.approx(brute.warp(q[r.n], d[r.n], np.ones(16), 4, kind))
 
 
+def smooth_series(rng, n, length, channels=2):
+    steps = rng.normal(0, 0.06, (n, length, channels)).cumsum(axis=1)
+    return np.clip(rng.uniform(0.2, 0.8, (n, 1, channels)) + steps, 0, 1)
+
+
+@pytest.mark.parametrize("kind", ["chi_square", "euclidean"])
+@pytest.mark.parametrize("preset", [None, "humpback"])
+def test_bounds_and_abandoning(kind, preset):
+    """Bounds never exceed the distance; a search that gives up early finds the minima of the full grid."""
+    rng = np.random.default_rng(8)
+    for length, window in ((128, 8), (9, 20), (12, 1), (2, 1), (1, 3)):
+        a, b = smooth_series(rng, 12, length).transpose(2, 1, 0), smooth_series(rng, 15, length).transpose(2, 1, 0)
+        weights = warping.spatial_weights(length, preset)
+        full = warping.warp(a[..., None], b[:, :, None, :], weights, window, warping.COSTS[kind])
+        full = np.broadcast_to(full, (12, 15))
+        bound = warping.lower_bounds(a, b, weights, window, kind)
+        assert (bound <= full).all() and (length < 12 or bound.max() > 0)
+        groups = (np.arange(12) // 2)[:, None] * 5 + (np.arange(15) // 3)[None, :]
+        want = np.full(30, np.inf)
+        np.minimum.at(want, groups.ravel(), full.ravel())
+        want = want.reshape(6, 5)
+        got, warped, _ = warping.least_distances(a, b, groups, np.full((6, 5), np.inf), weights, window, kind, None)
+        assert np.array_equal(got, want) and warped <= 180
+        single = np.arange(180).reshape(12, 15)
+        got = warping.least_distances(a, b, single, np.full((12, 15), np.inf), weights, window, kind, None)
+        assert np.allclose(got[0], full) and got[1] == 180
+        got, fewer, _ = warping.least_distances(a, b, groups, np.full((6, 5), np.inf), weights, window, kind, 2, chunk=8)
+        edge = np.sort(want, axis=1)[:, 1:2]
+        assert np.array_equal(np.where(want <= edge, got, 0), np.where(want <= edge, want, 0)) and (got >= want).all()
+        if length == 128:
+            assert fewer < warped < 180
+
+
+@pytest.mark.parametrize("kind", ["chi_square", "euclidean"])
+def test_nearest_individuals(spark, kind):
+    """At the default length and window: the same minima as brute force, and few pairs warped."""
+    rng = np.random.default_rng(9)
+    people = smooth_series(rng, 12, 128)
+    q = np.clip(people[rng.integers(0, 12, 9)] + rng.normal(0, 0.01, (9, 128, 2)), 0, 1)
+    d = np.clip(people[np.arange(36) % 12] + rng.normal(0, 0.01, (36, 128, 2)), 0, 1)
+    qs = spark.createDataFrame([(i // 2, i, q[i].ravel().tolist()) for i in range(9)], "query_id long, series_id long, values array<double>").repartition(2)
+    ds = spark.createDataFrame([(f"n{i % 12:02d}", i, d[i].ravel().tolist()) for i in range(36)], "target_id string, series_id long, values array<double>").repartition(3)
+    p = WarpParams(cost=kind, block_rows=16)
+    assert (p.length, p.window) == (128, 8)
+    weights = warping.spatial_weights(128, "bottlenose")
+    want = {}
+    for i in range(9):
+        for j in range(36):
+            key = (i // 2, f"n{j % 12:02d}")
+            want[key] = min(want.get(key, np.inf), brute.warp(q[i], d[j], weights, 8, kind))
+    scores = {(r.query_id, r.target_id): r.score for r in warping.warping_scores(qs, ds, p, 2, "bottlenose").collect()}
+    assert scores.keys() == want.keys() and all(scores[k] == pytest.approx(v) for k, v in want.items())
+    got = {(r.query_id, r["rank"]): (r.target_id, r.score) for r in warping.nearest_individuals(qs, ds, 3, p, 2, "bottlenose").collect()}
+    for query in range(5):
+        order = sorted((v, t) for (k, t), v in want.items() if k == query)[:3]
+        assert [got[query, r][0] for r in (1, 2, 3)] == [t for _, t in order]
+        assert [got[query, r][1] for r in (1, 2, 3)] == pytest.approx([v for v, _ in order])
+    done = warping.pruning_report(qs, ds, 3, p, 2, "bottlenose").first()
+    assert done.pairs == 9 * 36 and done.finished <= done.warped < 0.8 * done.pairs
+    assert warping.nearest_individuals(qs.limit(0), ds, 3, p, 2).count() == 0 == warping.warping_scores(qs, ds.limit(0), p, 2).count()
+
+
 @pytest.mark.parametrize("length,window", [(1, 3), (2, 1), (3, 1), (9, 20), (12, 2)])
 def test_warp_edges(length, window):
     rng = np.random.default_rng(5)
