@@ -51,6 +51,13 @@ def _(t):
     return N.recall(_neighbours(t, "lsh"), _neighbours(t, "blocked"))
 
 
+@query("c4_knn_forest_recall", f"""WITH {KNN} SELECT scale, true AS good FROM nn GROUP BY scale""")
+def _(t):
+    """Whether at least nine of ten true neighbours are found, per scale."""
+    found = N.recall(_neighbours(t, "forest"), _neighbours(t, "blocked"))
+    return found.select("scale", (F.col("recall") >= 0.9).alias("good"))
+
+
 @query("c5_radius_join", f"""WITH {I.CONTOUR} SELECT a.contour_id, a.idx AS centre, b.idx, round((b.x - a.x) ** 2 + (b.y - a.y) ** 2, 6) + 0.0 AS d2
 FROM pt a JOIN pt b ON a.contour_id = b.contour_id AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2 <= 400.0""")
 def _(t):

@@ -351,6 +351,10 @@ def neighbours(
     queries: DataFrame, database: DataFrame, count: int, method: str = "exact",
     params: NeighbourParams = NeighbourParams(),
 ) -> DataFrame:
+    if method == "forest":
+        from resight.operators.forest import forest_neighbours
+
+        return forest_neighbours(queries, database, count, params)
     return METHODS[method](queries, database, count, params)
 
 

@@ -71,6 +71,21 @@ class IndexParams:
     search_factor: int = 1
 
 
+@dataclass(frozen=True)
+class ForestParams:
+    """Projection trees: rows of a leaf, levels fitted in a round and the rows they are fitted on.
+
+    The number of trees, and of leaves a search looks into, follow the index rule where they are not given.
+    """
+
+    index: IndexParams = field(default_factory=IndexParams)
+    leaf: int = 512
+    levels: int = 3
+    sample: int = 512
+    trees: int | None = None
+    search_k: int | None = None
+
+
 @dataclass(frozen=True)
 class NeighbourParams:
     """How vectors are cut into bounded blocks before distances are taken."""
@@ -81,6 +96,7 @@ class NeighbourParams:
     blocks_per_salt: int = 4
     pivots: int = 512
     max_pivot_cells: int = 20_000
+    forest: ForestParams = field(default_factory=ForestParams)
     lsh_tables: int = 10
     lsh_leaf: int = 64
     lsh_max_bits: int = 24

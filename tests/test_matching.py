@@ -87,6 +87,55 @@ def test_lsh_recall(vectors):
     assert all(r.recall > 0.9 for r in neighbours.recall(neighbours.lsh_neighbours(q, d, 3), truth).collect())
 
 
+def test_forest(spark):
+    """Leaves are bounded, every row is in one leaf of every tree, recall holds at the default budget and rises to all."""
+    from resight.operators import forest
+    from resight.params import ForestParams
+
+    rng = np.random.default_rng(11)
+    data = rng.normal(size=(3000, 12))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    data[:300] = data[0]  # a leaf that no plane cuts
+    rows = [("s", i, data[i].tolist(), i % 40) for i in range(3000)] + [("few", i, data[i].tolist(), i) for i in range(5)]
+    d = spark.createDataFrame(rows, "scale string, vec_id long, vec array<double>, target int").repartition(4)
+    q = d.where("vec_id % 10 = 3").withColumn("query_id", F.col("vec_id"))
+    small = ForestParams(leaf=64, levels=2, sample=64, search_k=40)
+    built = forest.build_forest(d, small)
+    sizes = {tuple(r)[:3]: r["n"] for r in built.leaves.groupBy("scale", "tree", "node").agg(F.count("*").alias("n")).collect()}
+    assert built.trees == 10 and len(built.planes) >= 2 and max(sizes.values()) <= 64 and len({n for s, t, n in sizes if t == 0}) > 30
+    folded = 3000 - 300 + 3 + 5 - 2  # of equal vectors the three smallest ids
+    assert sum(sizes.values()) == 10 * folded or sum(sizes.values()) == 10 * (folded + 2)
+    truth = neighbours.blocked_neighbours(q, d, 3)
+    some = {r.scale: r.recall for r in neighbours.recall(forest.search_forest(q, built, 3, small), truth).collect()}
+    assert some["few"] == 1.0 and some["s"] > 0.6
+    every = forest.Forest(built.leaves, built.planes, built.trees, 10**6)
+    assert all(r.recall == 1.0 for r in neighbours.recall(forest.search_forest(q, every, 3, small), truth).collect())
+    usual = neighbours.recall(neighbours.neighbours(q, d, 3, "forest"), truth).collect()
+    assert all(r.recall >= 0.9 for r in usual)
+    nothing = neighbours.neighbours(q, d.limit(0), 3, "forest")
+    assert nothing.count() == 0
+
+
+def test_best_first_over_levels():
+    """Priorities of a round are those of walking the planes one after the other."""
+    from resight.operators import forest
+
+    rng = np.random.default_rng(12)
+    planes = forest.subtree(rng.normal(size=(200, 5)), 3)
+    vectors, start = rng.normal(size=(50, 5)), -rng.uniform(size=50)
+    found = forest.reach(vectors, start, planes, 3)
+    own = forest.reach(vectors, np.zeros(50), planes, 3)
+    assert (own.argmax(axis=1) == forest.descend(vectors, planes, 3)).all() and np.allclose(found.max(axis=1), start)
+    for v, p, row in zip(vectors, start, found):
+        for path in range(8):
+            node, value = 0, p
+            for bit in (path >> 2 & 1, path >> 1 & 1, path & 1):
+                margin = v @ planes[node, :-1] - planes[node, -1]
+                value = value if (margin >= 0) == bool(bit) else min(value, -abs(margin))
+                node = 2 * node + 1 + bit
+            assert row[path] == pytest.approx(value)
+
+
 def test_hot_bucket_is_cut_into_bounded_blocks(spark):
     from resight.operators import blocks
 
