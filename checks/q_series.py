@@ -9,6 +9,7 @@ from checks.q_windows import smooth_sql
 from checks.registry import query
 from checks.sql_series import gauss_sql, warp_sql, week_series_sql
 from resight.functions import vectors as V
+from resight.functions.tables import register_tables
 from resight.operators import curvature, descriptors, splits, warping
 from resight.operators import series as S
 from resight.params import DescriptorParams, GaussParams, SplitParams, WarpParams
@@ -69,6 +70,14 @@ def _(t):
     return descriptors.keypoint_pairs(keyed).select("contour_id", "scale", "idx0", "idx1")
 
 
+@query("c9_keypoint_pairs_sql", f"""WITH {DESCRIPTORS} SELECT contour_id, round(scale, 6) AS scale, idx0, idx1 FROM pa""")
+def _(t):
+    register_tables(t.spark)
+    keyed = descriptors.series_keypoints(I.curvature(t), SMALL)
+    return t.spark.sql("""SELECT * FROM keypoint_pairs(
+        TABLE(SELECT contour_id, CAST(scale AS DOUBLE) AS scale, explode(keypoints) AS idx FROM {keyed}) PARTITION BY (contour_id, scale))""", keyed=keyed)
+
+
 @query("c14_pair_slices", f"""WITH {DESCRIPTORS} SELECT p.contour_id, round(p.scale, 6) AS scale, idx0, idx1, count(*) AS n, round(sum(value), 6) AS total
 FROM pa p JOIN ev e ON e.contour_id = p.contour_id AND e.scale = p.scale AND e.idx BETWEEN idx0 AND idx1 GROUP BY ALL""")
 def _(t):

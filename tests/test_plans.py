@@ -1,4 +1,6 @@
 import datetime as dt
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +111,74 @@ def test_stream_equals_batch(spark, tables):
     got = spark.read.parquet(out).select(*keys, F.round("score", 9)).collect()
     want = scoring.lnbnn_scores(vectors.filter("owner < 20"), vectors).select(*keys, F.round("score", 9)).collect()
     assert sorted(got) == sorted(want) and got
+
+
+@pytest.mark.parametrize("level", ["name", "annotation"])
+def test_split_queries_are_summed(spark, tables, level):
+    """Queries whose vectors lie in two files: those with an end mark answer at once, the others after a while."""
+    from resight.params import LnbnnParams
+    from resight.streaming import split_queries
+
+    params = LnbnnParams(level=level)
+    spark.conf.set(*split_queries.STATE_STORE)
+    vectors = inputs.vectors(tables).cache()
+    asked = vectors.filter("owner < 12").withColumn("query_id", F.col("owner")).select("query_id", "scale", "vec_id", "vec")
+    arriving, folder, out, one, two = (scratch_path(spark, n) for n in ("in", "evidence", "out", "chk", "chk"))
+    halves = F.pmod(F.xxhash64("vec_id", "scale"), F.lit(2))
+    marked = asked.withColumn("last", F.lit(False))
+    for turn in range(2):
+        part = marked.where(halves == turn)
+        if turn:
+            marks = part.where("query_id % 4 != 0").groupBy("query_id").agg(F.min("vec_id").alias("_v"))
+            part = part.drop("last").join(marks, "query_id", "left").withColumn(
+                "last", F.coalesce(F.col("vec_id") == F.col("_v"), F.lit(False))).drop("_v")
+        part.coalesce(1).write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    kind = marked.schema["query_id"].dataType
+
+    def finish(query):
+        query.awaitTermination(180)
+        assert query.exception() is None and not query.isActive
+
+    finish(split_queries.stream_evidence(stream, lambda: vectors, folder, one, params))
+    assert len(spark.read.parquet(folder).select("batch").distinct().collect()) == 2
+    keys = ["query_id", "target_id"]
+    want = scoring.lnbnn_scores(asked.withColumn("owner", F.col("query_id")), vectors, params)
+    want = {(r[0], str(r[1])): r[2] for r in want.select(*keys, F.round("score", 9)).collect()}
+
+    def answers():
+        rows = spark.read.schema("query_id long, target_id string, score double").parquet(out).collect()
+        assert len({r[:2] for r in rows}) == len(rows)
+        return {(r[0], r[1]): round(r[2], 9) for r in rows}
+
+    query = split_queries.stream_totals(spark, folder, out, two, kind, 8000, params, {"processingTime": "1 second"})
+    try:
+        early = None
+        for _ in range(120):
+            time.sleep(1)
+            assert query.exception() is None
+            got = answers() if any(p.suffix == ".parquet" for p in Path(out).glob("*")) else {}
+            early = early or got
+            if len(got) == len(want):
+                break
+    finally:
+        query.stop()
+    assert got == pytest.approx(want) and any(k[0] % 4 for k in early)
+
+
+def test_table_functions(spark):
+    from resight.functions.tables import register_tables
+    from resight.operators import warping
+    from resight.params import WarpParams
+
+    register_tables(spark)
+    points = [(1, 0.5, i) for i in (7, 3, 3, 9)] + [(1, 0.7, 4), (2, 0.5, None), (2, 0.5, 8), (2, 0.5, 1)]
+    frame = spark.createDataFrame(points, "contour_id long, scale double, idx int").repartition(3)
+    got = spark.sql("SELECT * FROM keypoint_pairs(TABLE({p}) PARTITION BY (contour_id, scale))", p=frame).collect()
+    assert sorted(map(tuple, got)) == [(1, 0.5, 3, 7), (1, 0.5, 3, 9), (1, 0.5, 7, 9), (2, 0.5, 1, 8)]
+    draw = __import__("numpy").random.default_rng(1)
+    rows = [(i, draw.uniform(size=32).tolist(), draw.uniform(size=32).tolist()) for i in range(20)]
+    pairs = spark.createDataFrame([*rows, (20, None, rows[0][1])], "pair_id long, a array<double>, b array<double>")
+    got = spark.sql("SELECT * FROM warped_distances(TABLE({p}), 'euclidean', 4, 2)", p=pairs).collect()
+    want = warping.pair_distances(pairs.where("a IS NOT NULL"), WarpParams(window=4, length=16, cost="euclidean"), 2).collect()
+    assert {r[0]: r[1] for r in got} == pytest.approx({**{r[0]: r[1] for r in want}, 20: None})
