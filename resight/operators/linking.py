@@ -9,15 +9,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from resight.session import cut, cut_and_observe
+from resight.session import cut, cut_and_observe, discard
 
 # Fixed value: peaks closer than this share of a cell are one peak.
 MERGE_DISTANCE = math.sqrt(2.0) / 4.0
 NODE = ["image_id", "i", "j"]
+#: Side in cells of the image tiles inside which walks are contracted.
+TILE = 128
+# How a walk stops inside a tile.
+_ENDS, _LEAVES, _RING = 0, 1, 2
 
 
 def cell_neighbours(peaks: DataFrame) -> DataFrame:
@@ -83,51 +89,123 @@ def mutual_links(links: DataFrame) -> DataFrame:
     return links.join(back, [*NODE, "t_i", "t_j"], "left_semi")
 
 
-def _walks(links: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, bool]:
-    """Follow every link to the end of its chain by pointer doubling.
+def _contract(part: pd.DataFrame) -> pd.DataFrame:
+    """Follow every arc of one image tile until its chain ends or leaves the tile.
 
-    An arc a -> b is followed by b -> c with c != a. After r rounds an arc has seen 2^r steps,
-    so a chain of n points needs log2(n) rounds, each one join on the arc. The table is cut with
-    a written table every round. Returns arcs (a, b) with the end node u, the hops to it and the
-    smallest node seen, and whether there are rings (their arcs keep a continuation v).
+    Arcs (ai, aj) -> (bi, bj): `own` ones start in the tile, the others come into it from outside and are only
+    followed, not entered; `leaves` marks own arcs that end outside. Per arc: the last arc (x, y) it reaches here, the
+    arcs before that one, the smallest node seen, and how the walk stops.
     """
-    node = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"))
-    arcs = links.select("image_id", node("i", "j").alias("a"), node("t_i", "t_j").alias("b")).distinct()
-    follow = arcs.select("image_id", F.col("a").alias("b"), F.col("b").alias("c"))
-    # A node has at most two arcs, so at most one follower differs from where the walk came from.
-    state = (
-        arcs.join(follow, ["image_id", "b"], "left")
-        .withColumn("_next", F.when(F.col("c") != F.col("a"), F.col("c")))
-        .groupBy("image_id", "a", "b").agg(F.max("_next").alias("c"))
-        .select("image_id", "a", "b", F.col("b").alias("u"), F.col("c").alias("v"),
-                F.lit(1).cast("bigint").alias("hops"), F.least("a", "b").alias("low"))
-    )
-    # (u, v) is the arc the walk continues with; v is null at the end of a chain.
-    open_arcs = F.count("v").alias("open")
-    state, seen = cut_and_observe(state, "walks", open_arcs)
+    tails, heads = part[["ai", "aj"]].to_numpy(), part[["bi", "bj"]].to_numpy()
+    # Nodes by rank, so that the smallest cell is the smallest number.
+    nodes, rank = np.unique(np.concatenate([tails, heads]), axis=0, return_inverse=True)
+    a, b = rank.reshape(2, -1)
+    own = part["own"].to_numpy()
+    starts = np.lexsort((b, a))
+    starts = starts[own[starts]]
+    follower = np.full(len(a), -1)
+    if len(starts):
+        first, end = (np.searchsorted(a[starts], b, side=s) for s in ("left", "right"))
+        # The greatest follower that does not go back to where the walk came from.
+        last, other = starts[np.maximum(end - 1, 0)], starts[np.maximum(end - 2, 0)]
+        back = b[last] == a
+        follower = np.where((end > first) & ~back, last, np.where((end > first + 1) & back, other, -1))
+    here = np.arange(len(a))
+    reached = np.where(follower < 0, here, follower)
+    steps = (follower >= 0).astype(np.int64)
+    low = np.minimum(a, b)
+    low = np.minimum(low, low[reached])
+    for _ in range(len(a).bit_length() + 1):
+        if (follower[reached] < 0).all():
+            break
+        steps += steps[reached]
+        low = np.minimum(low, low[reached])
+        reached = reached[reached]
+    kind = np.where(follower[reached] >= 0, _RING, np.where(part["leaves"].to_numpy()[reached], _LEAVES, _ENDS))
+    out = part[["image_id", "ai", "aj", "bi", "bj", "own"]].copy()
+    out["xi"], out["xj"] = tails[reached].T
+    out["yi"], out["yj"] = heads[reached].T
+    out["low_i"], out["low_j"] = nodes[low].T
+    out["steps"], out["kind"] = steps, kind.astype(np.int32)
+    return out
+
+
+def _walks(links: DataFrame, tile: int = TILE, max_rounds: int = 64) -> tuple[DataFrame, bool]:
+    """Follow every link to the end of its chain.
+
+    An arc a -> b is followed by b -> c with c != a. Walks are contracted inside image tiles of `tile` x `tile` cells in
+    one pass; a tile holds at most that many points. What is left are the arcs that cross a border, each with the next
+    one its walk comes to, and these are followed by pointer doubling: after r rounds one has seen 2^r crossings. So the
+    rounds, each a written table of crossings, grow with the logarithm of a chain's crossings, not of its points.
+    Returns arcs (a, b) with the end node u, the hops to it, the smallest node seen and whether the walk is a ring (u
+    and hops then mean nothing), and whether there are rings.
+    """
+    spark = links.sparkSession
+    kinds = {c: links.schema[c].dataType for c in ("i", "j")}
+    flat = links.select("image_id", *[F.col(c).cast("bigint").alias(n) for c, n in zip(
+        ("i", "j", "t_i", "t_j"), ("ai", "aj", "bi", "bj"))]).distinct()
+    cell = {f"_{n}": F.floor(F.col(n) / F.lit(tile)) for n in ("ai", "aj", "bi", "bj")}
+    leaves = (F.col("_ai") != F.col("_bi")) | (F.col("_aj") != F.col("_bj"))
+    home = F.struct(F.col("_ai").alias("ti"), F.col("_aj").alias("tj"), F.lit(True).alias("own"), leaves.alias("leaves"))
+    entered = F.struct(F.col("_bi").alias("ti"), F.col("_bj").alias("tj"), F.lit(False).alias("own"), F.lit(False).alias("leaves"))
+    dealt = flat.withColumns(cell).select(
+        "image_id", "ai", "aj", "bi", "bj", F.inline(F.when(leaves, F.array(home, entered)).otherwise(F.array(home))))
+    image = f"image_id {links.schema['image_id'].dataType.simpleString()}"
+    longs = ", ".join(f"{c} bigint" for c in ("xi", "xj", "yi", "yj", "low_i", "low_j", "steps"))
+    contracted = dealt.groupBy("image_id", "ti", "tj").applyInPandas(
+        _contract, f"{image}, ai bigint, aj bigint, bi bigint, bj bigint, own boolean, {longs}, kind int")
+
+    def node(i: str, j: str) -> Column:
+        return F.struct(F.col(i).cast(kinds["i"]).alias("i"), F.col(j).cast(kinds["j"]).alias("j"))
+
+    goes_on = F.col("kind") == _LEAVES
+    state = contracted.select(
+        "image_id", node("ai", "aj").alias("a"), node("bi", "bj").alias("b"), "own",
+        node("yi", "yj").alias("u"), F.when(goes_on, F.struct(node("xi", "xj").alias("a"), node("yi", "yj").alias("b"))).alias("v"),
+        (F.col("steps") + F.when(goes_on, 0).otherwise(1)).alias("hops"), node("low_i", "low_j").alias("low"),
+        (F.col("kind") == _RING).alias("ring"))
+    # v is the crossing the walk goes on with, hops the arcs before it; v is null where the walk is over.
+    inside, seen = cut_and_observe(
+        state, "tiles", F.count(F.when(~F.col("own"), 1)).alias("crossings"), F.count(F.when(F.col("ring"), 1)).alias("rings"),
+        F.count(F.when(~F.col("own"), F.col("v"))).alias("open"))
+    rings = seen["rings"] > 0
+    done = inside.filter("own and v is null").select("image_id", "a", "b", "u", "hops", "low", "ring")
+    if not seen["crossings"]:
+        return done, rings
+    border = inside.filter("not own").select("image_id", F.struct("a", "b").alias("at"), "u", "v", "hops", "low", "ring")
+    written: list[DataFrame] = []
     for _ in range(max_rounds):
         if not seen["open"]:
-            return state, False
-        jump = state.select(
-            "image_id", F.col("a").alias("u"), F.col("b").alias("v"), F.col("u").alias("_u"), F.col("v").alias("_v"),
-            F.col("hops").alias("_hops"), F.col("low").alias("_low"),
-        )
-        moved = state.filter("v is not null").join(jump, ["image_id", "u", "v"]).select(
-            "image_id", "a", "b", F.col("_u").alias("u"), F.col("_v").alias("v"),
-            (F.col("hops") + F.col("_hops")).alias("hops"), F.least("low", "_low").alias("low"),
-            (F.col("_v").isNull() | (F.col("_low") < F.col("low"))).alias("_new"),
-        )
-        merged = moved.unionByName(state.filter("v is null").withColumn("_new", F.lit(False)))
-        state, seen = cut_and_observe(merged, "walks", open_arcs, F.count(F.when(F.col("_new"), 1)).alias("progress"))
-        state = state.drop("_new")
+            break
+        jump = border.select("image_id", F.col("at").alias("v"), *[F.col(c).alias(f"_{c}") for c in ("u", "v", "hops", "low", "ring")])
+        moved = border.filter("v is not null").join(jump, ["image_id", "v"]).select(
+            "image_id", "at", F.col("_u").alias("u"), F.col("_v").alias("v"), (F.col("hops") + F.col("_hops")).alias("hops"),
+            F.least("low", "_low").alias("low"), F.col("_ring").alias("ring"),
+            (F.col("_v").isNull() | (F.col("_low") < F.col("low"))).alias("_new"))
+        merged = moved.unionByName(border.filter("v is null").withColumn("_new", F.lit(False)))
+        merged, seen = cut_and_observe(merged, "crossings", F.count("v").alias("open"), F.count(F.when(F.col("_new"), 1)).alias("progress"))
+        discard(spark, *written)
+        border, written = merged.drop("_new"), [merged]
+        # Crossings that neither close nor see a smaller node any more lie on rings.
         if not seen["progress"]:
-            return state, True
-    raise RuntimeError("chains did not close; raise max_rounds")
-
-
-def connected_chains(peaks: DataFrame, links: DataFrame) -> DataFrame:
+            rings = rings or seen["open"] > 0
+            break
+    else:
+        raise RuntimeError("chains did not close; raise max_rounds")
+    rest = border.select(
+        "image_id", F.col("at").alias("v"), F.col("u").alias("_u"), F.col("hops").alias("_hops"), F.col("low").alias("_low"),
+        (F.col("ring") | F.col("v").isNotNull()).alias("_ring"))
+    outside = inside.filter("own and v is not null").join(rest, ["image_id", "v"]).select(
+        "image_id", "a", "b", F.col("_u").alias("u"), (F.col("hops") + F.col("_hops")).alias("hops"),
+        F.least("low", "_low").alias("low"), F.col("_ring").alias("ring"))
+    walks = cut(done.unionByName(outside), "walks")
+    discard(spark, inside, *written)
+    return walks, rings
+
+
+def connected_chains(peaks: DataFrame, links: DataFrame, tile: int = TILE) -> DataFrame:
     """(image_id, i, j, chain_i, chain_j): the smallest cell of the chain each point belongs to."""
-    walks, _ = _walks(links)
+    walks, _ = _walks(links, tile)
     lows = walks.groupBy("image_id", "a").agg(F.min("low").alias("_low"))
     nodes = peaks.select(*NODE).distinct()
     labelled = nodes.join(lows.select("image_id", F.col("a.i").alias("i"), F.col("a.j").alias("j"), "_low"), NODE, "left")
@@ -135,7 +213,7 @@ def connected_chains(peaks: DataFrame, links: DataFrame) -> DataFrame:
                            F.coalesce(F.col("_low.j"), F.col("j")).alias("chain_j"))
 
 
-def link_points(peaks: DataFrame, merge: bool = False) -> DataFrame:
+def link_points(peaks: DataFrame, merge: bool = False, tile: int = TILE) -> DataFrame:
     """Points in chain order: (image_id, contour_id, idx, i, j).
 
     A chain starts at the far end of the forward side of its smallest cell. In a ring the walk
@@ -143,10 +221,9 @@ def link_points(peaks: DataFrame, merge: bool = False) -> DataFrame:
     """
     used = collapse_near_peaks(peaks) if merge else peaks
     links = cut(mutual_links(directed_links(used)))
-    walks, has_rings = _walks(links)
-    closed = F.col("v").isNotNull()
+    walks, has_rings = _walks(links, tile)
     per_node = walks.groupBy("image_id", "a").agg(
-        F.min("low").alias("low"), F.max(closed).alias("ring"),
+        F.min("low").alias("low"), F.max("ring").alias("ring"),
         F.array_sort(F.collect_list(F.struct("u", "hops", "b"))).alias("_arms"),
     )
     labelled = per_node.select("image_id", F.col("a.i").alias("i"), F.col("a.j").alias("j"), "low", "ring", "_arms")
@@ -170,19 +247,19 @@ def link_points(peaks: DataFrame, merge: bool = False) -> DataFrame:
     )
     every = lines
     if has_rings:
-        every = lines.unionByName(_ring_places(nodes.filter("ring").select("image_id", "low", "i", "j"), links, start))
+        every = lines.unionByName(_ring_places(nodes.filter("ring").select("image_id", "low", "i", "j"), links, start, tile))
     name = F.concat_ws("-", F.col("image_id").cast("string"), F.col("low.i").cast("string"), F.col("low.j").cast("string"))
     return every.select("image_id", name.alias("contour_id"), "idx", "i", "j")
 
 
-def _ring_places(members: DataFrame, links: DataFrame, start: DataFrame) -> DataFrame:
+def _ring_places(members: DataFrame, links: DataFrame, start: DataFrame, tile: int) -> DataFrame:
     """Open each ring at its smallest cell and number the points by the walk forward from there."""
     sizes = members.groupBy("image_id", "low").agg(F.count(F.lit(1)).alias("_size"))
     of = members.select("image_id", "i", "j", "low")
     # Without the arcs into the smallest cell every walk ends before it.
     inner = links.join(of, NODE).filter(F.struct("t_i", "t_j") != F.struct(F.col("low.i"), F.col("low.j")))
     inner = inner.filter(F.struct("i", "j") != F.struct(F.col("low.i"), F.col("low.j"))).drop("low")
-    walked = _walks(inner)[0].select("image_id", F.col("a.i").alias("i"), F.col("a.j").alias("j"), "u", "hops")
+    walked = _walks(inner, tile)[0].select("image_id", F.col("a.i").alias("i"), F.col("a.j").alias("j"), "u", "hops")
     first = start.select("image_id", "low", F.col("_f").alias("u"))
     placed = of.join(first, ["image_id", "low"]).join(walked, ["image_id", "i", "j", "u"], "left")
     sized = placed.join(sizes, ["image_id", "low"])

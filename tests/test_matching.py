@@ -283,17 +283,43 @@ def peak_sets():
     return out
 
 
-def test_link_points(spark):
+@pytest.mark.parametrize("tile", [3, 128])
+def test_link_points(spark, tile):
+    """Chains and rings inside one tile, and across many borders, are those of a walk from point to point."""
     sets = peak_sets()
     rows = [(n, i, j, *map(float, v)) for n, peaks in sets.items() for (i, j), v in peaks.items()]
     peaks = spark.createDataFrame(pd.DataFrame(rows, columns=["image_id", "i", "j", "pi", "pj", "ni", "nj"])).repartition(3)
-    frame = linking.link_points(peaks).toPandas().sort_values(["contour_id", "idx"])
+    frame = linking.link_points(peaks, tile=tile).toPandas().sort_values(["contour_id", "idx"])
     got = {k: list(zip(g.i, g.j)) for k, g in frame.groupby("contour_id")}
     want = {f"{n}-{p[0]}-{p[1]}": path for n, s in sets.items() for p, path in brute.chains(s).items()}
     assert got == want
     assert all(g.idx.tolist() == list(range(len(g))) for _, g in frame.groupby("contour_id"))
 
 
+def test_chains_of_loose_links(spark):
+    """Links that need not be mutual, far targets, rings with tails: the smallest cell seen, whatever the tiles."""
+    rng = np.random.default_rng(11)
+    cells = [(int(i), int(j)) for i, j in {tuple(c) for c in rng.integers(-9, 9, size=(150, 2))}]
+    to = {c: cells[k] for c, k in zip(cells, rng.integers(0, len(cells), len(cells))) if cells[k] != c}
+    links = spark.createDataFrame([(1, *a, "fwd", *b) for a, b in to.items()],
+                                  "image_id int, i int, j int, side string, t_i int, t_j int")
+    peaks = spark.createDataFrame([(1, *c) for c in cells], "image_id int, i int, j int")
+    want = {}
+    for c in cells:
+        seen, a, b = {c}, c, to.get(c)
+        arcs = set()
+        while b is not None and (a, b) not in arcs:
+            arcs.add((a, b))
+            seen.add(b)
+            a, b = b, to.get(b) if to.get(b) != a else None
+        want[c] = min(seen)
+    for tile in (2, 5, 128):
+        got = {(r.i, r.j): (r.chain_i, r.chain_j) for r in linking.connected_chains(peaks, links, tile).collect()}
+        assert got == want
+    none = linking.connected_chains(peaks, links.limit(0)).collect()
+    assert len(none) == len(cells) and all((r.i, r.j) == (r.chain_i, r.chain_j) for r in none)
+
+
 def test_quadrants_in_a_crowd(spark):
     """A crowded corner is searched through finer cells and still gives the true neighbours."""
     rng = np.random.default_rng(7)
