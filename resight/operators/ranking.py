@@ -26,14 +26,33 @@ def result_table(scores: DataFrame, names: DataFrame) -> DataFrame:
     return scores.join(names, "target_id", "left").orderBy("query_id", "score", "target_id")
 
 
+#: Scores of one query that meet its true individual in one task.
+BLOCK = 1 << 20
+
+
+def scores_beside(asked: DataFrame, scores: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Rows of `asked`, each beside every score of its query; one without scores stays, beside nulls.
+
+    The rows of a query with more than `block` scores are copied to as many parts as it has blocks, and its scores are
+    dealt to these by target, so no query is one task's work. Such queries are at most a `block`-th of all scores.
+    """
+    crowded = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block).select(
+        *keys, F.ceil(F.col("_n") / block).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    copies = asked.join(crowded, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    dealt = scores.select(*keys, "target_id", "score").join(crowded, keys, "left").withColumn(
+        "_part", F.pmod(F.xxhash64("target_id"), parts).cast("int")).drop("_parts")
+    return copies.join(dealt, [*keys, "_part"], "left")
+
+
 def true_ranks(
-    scores: DataFrame, truth: DataFrame, keys: list[str], database: DataFrame | None = None
+    scores: DataFrame, truth: DataFrame, keys: list[str], database: DataFrame | None = None, block: int = BLOCK
 ) -> DataFrame:
     """Rank of the true individual of each query, or -1 if the database does not hold it.
 
     The rank is counted, not sorted: one plus the targets that come before the true one. The
-    counts are combined before the shuffle, so a query with very many targets is no single
-    sort. With `database` (per-run target ids) the scores may be sparse: a missing score is 0.
+    counts are combined before the shuffle, and a query with more than `block` targets is counted
+    in parts. With `database` (per-run target ids) the scores may be sparse: a missing score is 0.
     Truth has the keys and `ind`; scores have the keys, target_id and score.
     """
     own = scores.select(*keys, F.col("target_id").alias("ind"), F.col("score").alias("_own"))
@@ -58,7 +77,7 @@ def true_ranks(
     before = (F.col("score") < F.col("_own")) | (
         (F.col("score") == F.col("_own")) & (F.col("target_id") < F.col("ind"))
     )
-    met = marked.join(scores.select(*keys, "target_id", "score"), keys, "left")
+    met = scores_beside(marked, scores, keys, block)
     counted = [F.count(F.when(before, F.lit(1))).alias("_before")]
     group = [*keys, "ind", "_known", "_own"]
     if database is not None:

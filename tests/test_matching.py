@@ -375,3 +375,36 @@ def test_block_kernel_at_any_magnitude(size):
     exact = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
     assert np.array_equal(cols.reshape(40, 3), np.argsort(exact, axis=1, kind="stable")[:, :3])
     assert np.allclose(dist, exact[rows, cols])
+
+
+def test_ranks_of_a_crowded_query(spark):
+    """A query with nearly all targets is counted in parts, by several tasks, and its rank stays that of a sort."""
+    rng = np.random.default_rng(17)
+    rows = [(1, int(t), float(v)) for t, v in enumerate(-rng.integers(0, 50, 20000) / 4.0)]
+    rows += [(q, int(t), float(v)) for q in (2, 3) for t, v in zip(rng.permutation(60)[:20], rng.normal(size=20))]
+    scores = spark.createDataFrame(rows, "query_id int, target_id long, score double").repartition(8)
+    asked = [(1, 777), (2, rows[20000][1]), (3, 12345678), (4, 5)]
+    truth = spark.createDataFrame(asked, "query_id int, ind long")
+    database = spark.createDataFrame([(t,) for t in range(21000)], "target_id long")
+    for held in (None, database):
+        want = []
+        for q, ind in asked:
+            own = {t: v for k, t, v in rows if k == q}
+            if held is not None:
+                own = {t: own.get(t, 0.0) for t in range(21000)}
+            want.append((q, ind, sum((v, t) < (own[ind], ind) for t, v in own.items()) + 1 if ind in own else -1))
+        for block in (700, ranking.BLOCK):
+            assert sorted(map(tuple, ranking.true_ranks(scores, truth, ["query_id"], held, block).collect())) == want
+    met = ranking.scores_beside(truth, scores, ["query_id"], 700)
+    assert met.count() == len(rows) + 1
+    # As at scale: neither side is small enough to be sent whole, nor are partitions merged.
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        tasks = met.filter("query_id = 1").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert sum(r["count"] for r in tasks) == 20000 and max(r["count"] for r in tasks) < 9000
