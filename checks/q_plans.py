@@ -13,7 +13,7 @@ from checks.registry import query
 from checks.sql_series import chains_sql, warp_sql, week_series_sql
 from resight.functions import vectors as V
 from resight.operators import linking, splits, warping
-from resight.params import LnbnnParams, SnapshotParams, SplitParams, WarpParams
+from resight.params import DescriptorParams, LnbnnParams, SnapshotParams, SplitParams, WarpParams
 from resight.plans import evaluation, report, scoring, snapshots, training
 from resight.session import cut, scratch_path
 from resight.sources import store
@@ -53,6 +53,16 @@ def _(t):
     return _tidy_scores(scoring.lnbnn_scores(v, v))
 
 
+@query("j4_contour_scores")
+def _(t):
+    """From points to scores; no SQL, as J1 to J3 have theirs one by one."""
+    points = I.contour(t)
+    user = F.col("contour_id")
+    owners = points.select("contour_id").distinct().select("contour_id", user.alias("owner"), (user % 20).alias("label"))
+    vecs = scoring.contour_vectors(points, owners, [2.0, 4.0], DescriptorParams(length=128, feat_dim=8, num_keypoints=6))
+    return _tidy_scores(scoring.lnbnn_scores(vecs, vecs))
+
+
 @query("j4_lnbnn_scores_annotation", f"""WITH {EVIDENCE}, ea AS (SELECT query_id, q_vec, d_owner AS target_id, min(dist) - max(last) AS score FROM nl WHERE place < got GROUP BY ALL)
 SELECT query_id, target_id, round(sum(score), 6) + 0.0 AS score FROM ea WHERE query_id <> target_id GROUP BY 1, 2 HAVING sum(score) < -1e-5""")
 def _(t):

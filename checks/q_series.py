@@ -58,6 +58,12 @@ def _(t):
     return wide.withColumns({"dim": F.col("dim").cast("bigint"), "value": V.tidy(F.col("value"))})
 
 
+@query("j2_extraction_status", f"""WITH {DESCRIPTORS}, nd AS (SELECT contour_id, count(DISTINCT (scale, idx0, idx1)) AS n FROM fe GROUP BY 1)
+SELECT contour_id, n IS NOT NULL AS success, coalesce(n, 0)::BIGINT AS n_desc FROM (SELECT DISTINCT user_id AS contour_id FROM events) LEFT JOIN nd USING (contour_id)""")
+def _(t):
+    return descriptors.extraction_status(I.contour(t), descriptors.curvature_descriptors(I.curvature(t), SMALL))
+
+
 @query("e8_keypoints", f"""WITH {DESCRIPTORS} SELECT contour_id, round(scale, 6) AS scale, idx FROM kp""")
 def _(t):
     out = descriptors.series_keypoints(I.curvature(t), SMALL)

@@ -108,7 +108,8 @@ def _block_neighbours(batches, schema: pa.Schema, count: int):
         found = []
         for r in range(batch.num_rows):
             q, d = batch.column("_q")[r].values, batch.column("_d")[r].values
-            ids = d.field("d_vec").to_numpy()
+            # Ids of any kind, by their order.
+            ids = np.unique(d.field("d_vec").to_numpy(zero_copy_only=False), return_inverse=True)[1]
             rows, cols, dist = nearest_in_block(_matrix(q.field("vec")), _matrix(d.field("vec")), ids, count)
             rows, cols = pa.array(rows), pa.array(cols)
             scale = batch.column("scale").take(pa.array([r] * len(rows), pa.int64()))
@@ -240,8 +241,13 @@ def choose_pivots(d: DataFrame, params: NeighbourParams, wanted: dict[str, tuple
     return Pivots({s: np.stack(g["vec"].to_numpy()) for s, g in picked.groupby("scale")})
 
 
+def _with_name(vectors: DataFrame, kind: T.DataType) -> DataFrame:
+    """The scale's name beside it, as Spark writes it: other writers of numbers have other forms."""
+    return vectors.withColumn("_name", F.col("scale").cast(kind).cast("string"))
+
+
 def _by_scale(batch: pa.RecordBatch):
-    names = batch.column("scale").cast(pa.string()).to_pandas()
+    names = batch.column("_name").to_pandas()
     for scale, rows in names.groupby(names).indices.items():
         yield scale, pa.array(rows)
 
@@ -280,9 +286,10 @@ def exact_neighbours(
     assigned = T.StructType([*d.schema.fields, T.StructField("cell", T.IntegerType()),
                              T.StructField("far", T.DoubleType())])
     arrow_d = to_arrow_schema(assigned)
+    kind = d.schema["scale"].dataType
 
     def place(vectors: DataFrame) -> DataFrame:
-        return vectors.mapInArrow(lambda b: _assign(b, arrow_d, pivots), assigned)
+        return _with_name(vectors, kind).mapInArrow(lambda b: _assign(b, arrow_d, pivots), assigned)
 
     # One row per (scale, pivot): bounded by the check above.
     reach = place(d).groupBy(F.col("scale").cast("string").alias("scale"), "cell").agg(F.max("far").alias("r")).toPandas()
@@ -292,7 +299,7 @@ def exact_neighbours(
     measured = Pivots(pivots.vectors, radii)
     fanned = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())])
     arrow_q = to_arrow_schema(fanned)
-    asked = q.mapInArrow(lambda b: _fan_out(b, arrow_q, measured, count), fanned)
+    asked = _with_name(q, kind).mapInArrow(lambda b: _fan_out(b, arrow_q, measured, count), fanned)
     placed = place(fold_copies(d, count)).drop("far")
     return keep_nearest(_join_blocks(asked, placed, ["scale", "cell"], count, params), count)
 

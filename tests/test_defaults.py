@@ -56,3 +56,27 @@ def test_warping(spark, tables):
         want = min(brute.warp(shaped(q.values), shaped(d.values), np.ones(p.length), p.window, "chi_square")
                    for d in database[database.target_id == target].itertuples())
         assert got[q.query_id, target] == pytest.approx(want)
+
+
+def test_from_points_to_scores(spark, contours):
+    """The chain of curvature, descriptors, labels and evidence, beside the same steps on single contours."""
+    p = DescriptorParams(length=128, feat_dim=8, num_keypoints=6)
+    vecs = []
+    for c, xy in sorted(contours.items()):
+        wide = brute.curvature(xy, [2.0, 4.0])
+        for scale, values in zip((2.0, 4.0), wide.T):
+            vecs += [(scale, c, v) for v in brute.descriptors(values, p).values()]
+    scores = {}
+    for at in (2.0, 4.0):
+        of, x = np.array([c for s, c, _ in vecs if s == at]), np.array([v for s, _, v in vecs if s == at])
+        dist = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
+        near = np.argsort(dist, axis=1, kind="stable")[:, :3]
+        for q, places in enumerate(near):
+            last, least = dist[q, places[2]], {}
+            for k in places[:2]:
+                least.setdefault(of[k] % 20, dist[q, k])
+            for label, d in least.items():
+                scores[of[q], label] = scores.get((of[q], label), 0.0) + d - last
+    got = {(r.query_id, r.target_id): r.score for r in QUERIES["j4_contour_scores"](spark, SMALL).collect()}
+    want = {k: s for k, s in scores.items() if s < -1e-5}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
