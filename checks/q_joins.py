@@ -10,7 +10,9 @@ from resight.functions import vectors as V
 from resight.operators import curvature, linking
 from resight.operators import evidence as E
 from resight.operators import neighbours as N
+from resight.operators.stored_index import stored_neighbours, write_index
 from resight.params import NeighbourParams
+from resight.session import scratch_path
 
 
 @query("c2_label_join", f"""WITH {I.VECTORS} SELECT v.vec_id, v.owner, v.scale, c_name AS name FROM vecs v JOIN customer ON c_custkey = v.owner""")
@@ -41,6 +43,13 @@ def _(t):
     return _shown(_neighbours(t, "exact", NeighbourParams(block_rows=64, db_block_rows=128, pivots=32)))
 
 
+@query("c3_knn_stored", KNN_SQL)
+def _(t):
+    v, params = I.vectors(t), NeighbourParams(block_rows=64, db_block_rows=128)
+    index = write_index(v.withColumnRenamed("label", "target"), scratch_path(t.spark, "index"), params)
+    return _shown(stored_neighbours(v.withColumnRenamed("owner", "query_id"), index, 3, params))
+
+
 @query("c3_knn_blocked", KNN_SQL)
 def _(t):
     return _shown(_neighbours(t, "blocked"))

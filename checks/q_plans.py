@@ -14,7 +14,7 @@ from checks.sql_series import chains_sql, warp_sql, week_series_sql
 from resight.functions import vectors as V
 from resight.operators import linking, splits, warping
 from resight.params import DescriptorParams, LnbnnParams, SnapshotParams, SplitParams, WarpParams
-from resight.plans import evaluation, report, scoring, snapshots, training
+from resight.plans import derived, evaluation, report, scoring, snapshots, training
 from resight.session import cut, scratch_path
 from resight.sources import store
 
@@ -47,6 +47,19 @@ def _(t):
     return _tidy_scores(split_scores(t))
 
 
+@query("j4_lnbnn_scores_stored", f"""WITH {SPLIT_KNN} SELECT query_id, target_id, round(score, 6) + 0.0 AS score FROM sc""")
+def _(t):
+    """The index is published, found again through the catalogue and searched."""
+    queries, database = split_vectors(t)
+    folder, now = scratch_path(t.spark, "indexes"), F.lit(NOW).cast("timestamp_ntz")
+    none = t.spark.createDataFrame([], "tag string, snapshot_id string, created timestamp_ntz")
+    reach = (t.spark, none, "vectors", now, folder, "20011231", lambda place: scoring.index_vectors(database, place))
+    place = snapshots.load_or_build_index(*reach)[1]
+    listed = t.spark.range(1).select(F.lit("vectors").alias("tag"), F.lit(place).alias("snapshot_id"), now.alias("created"))
+    index = snapshots.load_or_build_index(t.spark, listed, *reach[2:])[0]
+    return _tidy_scores(scoring.lnbnn_scores(queries, index))
+
+
 @query("j4_lnbnn_scores_whole", f"""WITH {EVIDENCE} SELECT query_id, target_id, round(sum(score), 6) + 0.0 AS score FROM ev GROUP BY 1, 2 HAVING sum(score) < -1e-5""")
 def _(t):
     v = I.vectors(t)
@@ -205,6 +218,16 @@ def _(t):
         left["descriptors"].agg(count, F.sum("vec_id").alias("total")).select(F.lit("descriptors").alias("tbl"), "n", "total"))
 
 
+@query("j12_delete_stored", """SELECT count(*) AS n, sum(l_partkey)::BIGINT AS total FROM lineitem
+WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5) AND l_partkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)""")
+def _(t):
+    place = scratch_path(t.spark, "derived")
+    derived.create_derived(t.lineitem.select("l_suppkey", "l_partkey"), place, ["l_suppkey", "l_partkey"])
+    gone = t.supplier.filter("s_nationkey < 5").select(F.col("s_suppkey").alias("aid"))
+    derived.delete_stored(t.spark, place, ["l_suppkey", "l_partkey"], gone)
+    return derived.read_derived(t.spark, place).agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("total"))
+
+
 TRAIN = f"""{I.PARTS}, nm AS (SELECT p.*, image, viewpoint, im_width, CASE WHEN name = '____' THEN 'unknown-' || part_id ELSE name END AS name FROM part_box p JOIN annot ON aid = part_id
   WHERE part_w > 5 AND part_h > 5 AND annot_w <> 0 AND annot_h <> 0),
 sp AS (SELECT name, row_number() OVER (ORDER BY md5('0|' || name), name) - 1 < floor(count(*) OVER () * 0.8) AS is_train FROM (SELECT DISTINCT name FROM nm)),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.functions import text
+from resight.operators.stored_index import StoredIndex, read_index
 from resight.params import SnapshotParams
 
 
@@ -58,10 +59,26 @@ def load_or_create(
     make: Callable[[], DataFrame], params: SnapshotParams = SnapshotParams(),
 ) -> DataFrame:
     """Read the young snapshot of a tag, or compute and publish one. snapshot_id is its path."""
+    place = _young(spark, catalogue, tag, now, params) or publish(make(), folder, tag, created)
+    return spark.read.parquet(place)
+
+
+def _young(spark: SparkSession, catalogue: DataFrame, tag: str, now: Column, params: SnapshotParams) -> str | None:
     wanted = spark.createDataFrame([(tag,)], "tag string")
     row = latest_snapshot(catalogue, now, wanted, params).filter("action = 'reuse'").first()
-    place = row["snapshot_id"] if row else publish(make(), folder, tag, created)
-    return spark.read.parquet(place)
+    return row["snapshot_id"] if row else None
+
+
+def load_or_build_index(
+    spark: SparkSession, catalogue: DataFrame, tag: str, now: Column, folder: str, created: str,
+    build: Callable[[str], StoredIndex], params: SnapshotParams = SnapshotParams(),
+) -> tuple[StoredIndex, str]:
+    """The young search index of a tag and its path, or a new one that `build(path)` writes."""
+    place = _young(spark, catalogue, tag, now, params)
+    if place:
+        return read_index(spark, place), place
+    place = f"{folder}/tag={tag}/created={created}"
+    return build(place), place
 
 
 def delete_derived(tables: dict[str, tuple[DataFrame, list[str]]], aids: DataFrame) -> dict[str, DataFrame]:

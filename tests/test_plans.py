@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from checks import inputs
 from resight.operators import splits
 from resight.params import SplitParams, contour_preset
-from resight.plans import scoring, snapshots, training
+from resight.operators import neighbours, stored_index
+from resight.params import LnbnnParams, NeighbourParams
+from resight.plans import derived, scoring, snapshots, training
 from resight.session import scratch_path
 from resight.sources import rosters, store
 from resight.streaming.scores import stream_scores
@@ -182,3 +184,86 @@ def test_table_functions(spark):
     got = spark.sql("SELECT * FROM warped_distances(TABLE({p}), 'euclidean', 4, 2)", p=pairs).collect()
     want = warping.pair_distances(pairs.where("a IS NOT NULL"), WarpParams(window=4, length=16, cost="euclidean"), 2).collect()
     assert {r[0]: r[1] for r in got} == pytest.approx({**{r[0]: r[1] for r in want}, 20: None})
+
+
+def _files(place):
+    return {str(f): f.stat().st_mtime_ns for f in Path(place).rglob("*.parquet")}
+
+
+def test_deletes_rewrite_only_the_parts_that_hold_the_ids(spark):
+    place = scratch_path(spark, "derived")
+    rows = [(i, (i * 7) % 50, f"t{i}") for i in range(50)] * 2 + [(None, 3, "n"), (4, None, "m"), (None, None, "o")]
+    pairs = spark.createDataFrame(rows, "a long, aid long, text string")
+    derived.create_derived(pairs, place, ["a", "aid"], parts=16)
+    before = _files(f"{place}/rows")
+    gone = spark.createDataFrame([(3,), (999,), (None,), (3,)], "aid long")
+    touched = derived.delete_stored(spark, place, ["a", "aid"], gone)
+    wanted = [r for r in rows if r[0] != 3 and r[1] != 3]
+    got = [tuple(r) for r in derived.read_derived(spark, place).collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+    after = _files(f"{place}/rows")
+    untouched = {f: m for f, m in before.items() if int(f.split("_part=")[1].split("/")[0]) not in touched}
+    assert 0 < len(untouched) < len(before) and all(after.get(f) == m for f, m in untouched.items())
+    assert derived.delete_stored(spark, place, ["a", "aid"], gone) == []
+    # Parts that end empty lose their folder; what was deleted can come back.
+    derived.delete_stored(spark, place, ["a", "aid"], spark.range(50).select(F.col("id").alias("aid")))
+    assert [tuple(r) for r in derived.read_derived(spark, place).collect()] == [(None, None, "o")]
+    derived.refresh_stored(spark, pairs.filter("text = 't9'"), place, ["text"], ["a", "aid"], lambda new: new.distinct())
+    derived.refresh_stored(spark, pairs.filter("text = 't9'"), place, ["text"], ["a", "aid"], lambda new: new.distinct())
+    assert sorted(map(str, (r.text for r in derived.read_derived(spark, place).collect()))) == ["o", "t9"]
+
+
+SMALL_BLOCKS = NeighbourParams(block_rows=8, db_block_rows=16, blocks_per_salt=1)
+
+
+def _vectors(spark):
+    import numpy as np
+
+    base = np.random.default_rng(1).normal(size=(400, 6))
+    base[:130] = base[0]
+    rows = [("a" if i % 3 else "b", i, [float(x) for x in r], i % 7) for i, r in enumerate(base)]
+    return spark.createDataFrame(rows + [("a", 1000, None, 1), (None, 1001, [1.0] * 6, 1)], "scale string, vec_id long, vec array<double>, target int")
+
+
+def test_stored_index_equals_a_plain_search(spark):
+    d = _vectors(spark)
+    q = d.withColumn("query_id", F.col("vec_id") % 11).drop("target")
+    index = stored_index.write_index(d, scratch_path(spark, "index"), SMALL_BLOCKS)
+    whole = "vec is not null and scale is not null"
+    got = stored_index.stored_neighbours(q, index, 4, SMALL_BLOCKS)
+    want = neighbours.neighbours(q.filter(whole), d.filter(whole), 4, "blocked")
+    shown = [x.select("query_id", "scale", "q_vec", "d_vec", "target", F.round("dist", 9).alias("dist")) for x in (got, want)]
+    assert sorted(map(str, shown[0].collect())) == sorted(map(str, shown[1].collect()))
+    # A third of the rows are one vector: its cell fills several buckets.
+    assert index.cells.select(F.inline("_centres")).agg(F.max("salts")).first()[0] > 4
+    assert index.blocks.agg(F.max(F.size("_items"))).first()[0] < 64
+    empty = stored_index.write_index(d.limit(0), scratch_path(spark, "index"), SMALL_BLOCKS)
+    assert stored_index.stored_neighbours(q, empty, 4, SMALL_BLOCKS).count() == 0
+    assert stored_index.stored_neighbours(q.limit(0), index, 4, SMALL_BLOCKS).count() == 0
+
+
+def test_a_second_search_reuses_the_index_and_does_not_shuffle_it(spark):
+    d = _vectors(spark).filter("vec is not null and scale is not null").select(
+        "scale", "vec_id", "vec", F.col("target").alias("label"), F.col("vec_id").alias("owner"))
+    built, params = [], LnbnnParams(neighbours=SMALL_BLOCKS)
+
+    def build(place):
+        built.append(place)
+        return scoring.index_vectors(d, place, params)
+
+    folder, now = scratch_path(spark, "indexes"), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    empty = spark.createDataFrame([], "tag string, snapshot_id string, created timestamp_ntz")
+    first, place = snapshots.load_or_build_index(spark, empty, "t", now, folder, "20240110", build)
+    listed = spark.createDataFrame([("t", place, dt.datetime(2024, 1, 10))], empty.schema)
+    # As in another session: the catalogue does not know the table.
+    spark.sql("DROP TABLE " + stored_index._table_name(place))
+    second, again = snapshots.load_or_build_index(spark, listed, "t", now, folder, "20240111", build)
+    assert built == [place] and again == place
+    scores = scoring.lnbnn_scores(d, second, params)
+    key = lambda rows: sorted((r.query_id, r.target_id, round(r.score, 9)) for r in rows)
+    assert key(scores.collect()) == key(scoring.lnbnn_scores(d, d, params).collect())
+    found = stored_index.stored_neighbours(d.withColumnRenamed("owner", "query_id"), second, 3, SMALL_BLOCKS)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.rindex("SortMergeJoin [cell"):]
+    scan = side[:side.index("resight_index")]
+    assert "Exchange" not in scan[scan.rindex("+- Sort [cell"):] and "Bucketed: true" in side
