@@ -7,8 +7,8 @@ the `count` nearest database vectors of every query vector, ties broken by the s
 Exact search follows pivot partitioning (Lu et al., VLDB 2012). Every database vector belongs
 to its nearest pivot. A query has at least `count` neighbours within the distance to its
 count-th nearest pivot, so cells that lie wholly beyond that distance are skipped. The pivots
-and their cell radii are a parameter-bounded table; everything else is keyed by
-(scale, cell), packed into blocks and reduced block by block.
+and their cell radii are a parameter-bounded table (beyond the bound: `stored_index`);
+everything else is keyed by (scale, cell), packed into blocks and reduced block by block.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from resight.operators import blocks
 from resight.params import NeighbourParams
+from resight.session import scratch_path
 
 RESULT = ["query_id", "scale", "q_vec", "d_vec", "target", "dist"]
 
@@ -202,16 +203,14 @@ class Pivots:
         return near & (radius >= 0)[None, :]
 
 
-def pivots_wanted(d: DataFrame, params: NeighbourParams) -> dict[str, tuple[int, int]]:
-    """Per scale: number of vectors and of pivots that leave a few full blocks per cell.
+def pivots_wanted(d: DataFrame, params: NeighbourParams) -> dict[str, tuple[int, int]] | None:
+    """Per scale: number of vectors and of pivots that leave a few full blocks per cell; None beyond `max_pivot_cells` pivots.
 
-    Only the scale column is read. More scales than `max_pivot_cells` are refused.
+    Only the scale column is read.
     """
     counted = d.groupBy(F.col("scale").cast("string").alias("scale")).count().limit(params.max_pivot_cells + 1).collect()
     wanted = {r["scale"]: (r["count"], min(params.pivots, max(1, r["count"] // (2 * params.block_rows)))) for r in counted}
-    if sum(number for _, number in wanted.values()) > params.max_pivot_cells:
-        raise ValueError("too many pivots over all scales; lower `pivots` or score scales apart")
-    return wanted
+    return wanted if sum(number for _, number in wanted.values()) <= params.max_pivot_cells else None
 
 
 def choose_pivots(d: DataFrame, params: NeighbourParams, wanted: dict[str, tuple[int, int]]) -> Pivots:
@@ -279,10 +278,16 @@ def exact_neighbours(
 ) -> DataFrame:
     """Exact search that skips the cells which cannot hold a neighbour.
 
-    Every collection takes this path, however small; a scale of few vectors has one cell.
+    Every collection takes this path, however small; a scale of few vectors has one cell. Where all scales together want more
+    than `max_pivot_cells` pivots, the cells come from an index in the shared folder, whose pivots stay in tables: same rows.
     """
     q, d = _renamed(queries, database)
-    pivots = choose_pivots(d, params, pivots_wanted(d, params))
+    wanted = pivots_wanted(d, params)
+    if wanted is None:
+        from resight.operators.stored_index import stored_neighbours, write_index
+
+        return stored_neighbours(queries, write_index(database, scratch_path(d.sparkSession, "index"), params), count, params)
+    pivots = choose_pivots(d, params, wanted)
     assigned = T.StructType([*d.schema.fields, T.StructField("cell", T.IntegerType()),
                              T.StructField("far", T.DoubleType())])
     arrow_d = to_arrow_schema(assigned)

@@ -214,30 +214,47 @@ def _meet(asked: DataFrame, index: StoredIndex, count: int, params: NeighbourPar
     return met.select("scale", "_q", "_d").mapInArrow(lambda b: _block_neighbours(b, schema, count), spark_schema)
 
 
-def stored_neighbours(
-    queries: DataFrame, index: StoredIndex, count: int, params: NeighbourParams = NeighbourParams()
-) -> DataFrame:
-    """The `count` nearest stored vectors of every query vector, as `neighbours` returns them.
-
-    The nearest cell is searched first, in its first salt. What it gives bounds the distance of the last neighbour; only
-    cells that may hold a vector within it are searched after that.
-    """
+def _candidates(queries: DataFrame, index: StoredIndex, count: int, params: NeighbourParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the home cells give, the queries (KEYS, vec, cell, salt) there, and those for all other cells in reach."""
     q = queries.select("query_id", "scale", F.col("vec_id").alias("q_vec"), F.col("vec").cast("array<double>").alias("vec"))
     q = q.filter("scale is not null and vec is not null")
     columns = [*KEYS, "vec"]
+    one = F.lit(1).cast("bigint")
     at_head = cut(_nearest(_bunch(q, "scale").join(index.heads, "scale"), "scale", "head"), "at-head")
     home = cut(_nearest(
         blocks.pack(at_head, ["head"], "q_vec", columns, params.block_rows).join(index.cells, "head"), "head", "home"), "home")
-    near = cut(_meet(home.withColumns({"cell": F.col("home"), "salt": F.lit(0).cast("bigint")}), index, count, params), "near")
+    at_home = home.select(*columns, F.col("home").alias("cell"), (one - 1).alias("salt"))
+    near = cut(_meet(at_home, index, count, params), "near")
     bounds = keep_nearest(near, count).groupBy(*KEYS).agg(F.max("dist").alias("_d"), F.count(F.lit(1)).alias("_n"))
     bound = F.when(F.col("_n") >= count, F.col("_d")).otherwise(F.lit(float("inf")))
     asked = home.select(*columns, "home").join(bounds, KEYS, "left").select(*columns, "home", bound.alias("bound"))
     # Packing counts its rows first, so what is costly to find is written.
-    by_head = cut(
-        _within(_bunch(asked.withColumn("salts", F.lit(1).cast("bigint")), "scale").join(index.heads, "scale"), "scale", "head"), "by-head")
+    by_head = cut(_within(_bunch(asked.withColumn("salts", one), "scale").join(index.heads, "scale"), "scale", "head"), "by-head")
     packed = blocks.pack(by_head, ["head"], "q_vec", [*columns, "home", "bound", "salts"], params.block_rows)
     by_cell = _within(packed.join(index.cells, "head"), "head", "cell")
     salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")
-    rest = cut(by_cell.select(*columns, "home", "cell", salt).filter("not (cell = home and salt = 0)").drop("home"), "rest")
-    discard(at_head.sparkSession, at_head, home, by_head)
+    rest = by_cell.select(*columns, "home", "cell", salt).filter("not (cell = home and salt = 0)").drop("home")
+    return near, at_home, cut(rest, "rest")
+
+
+def stored_neighbours(
+    queries: DataFrame, index: StoredIndex, count: int, params: NeighbourParams = NeighbourParams()
+) -> DataFrame:
+    """The `count` nearest stored vectors of every query vector, as `neighbours` returns them.
+
+    The nearest cell is searched first, in its first salt. What it gives bounds the distance of the last neighbour; only
+    cells that may hold a vector within it are searched after that.
+    """
+    near, _, rest = _candidates(queries, index, count, params)
     return keep_nearest(near.unionByName(_meet(rest, index, count, params)), count)
+
+
+def measured_share(queries: DataFrame, index: StoredIndex, count: int, params: NeighbourParams = NeighbourParams()) -> DataFrame:
+    """(scale, measured, pairs): pairs of a query and a stored vector whose distance a search takes, and all pairs."""
+    _, at_home, rest = _candidates(queries, index, count, params)
+    rows = F.sum(F.size("_items")).alias("n")
+    sizes = index.blocks.groupBy("cell", "salt").agg(rows)
+    met = at_home.unionByName(rest).groupBy("scale", "cell", "salt").agg(F.count(F.lit(1)).alias("q")).join(sizes, ["cell", "salt"])
+    asked = at_home.groupBy("scale").agg(F.count(F.lit(1)).alias("q")).join(index.blocks.groupBy("scale").agg(rows), "scale")
+    return met.groupBy("scale").agg(F.sum(F.col("q") * F.col("n")).alias("measured")).join(
+        asked.select("scale", (F.col("q") * F.col("n")).alias("pairs")), "scale")

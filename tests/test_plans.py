@@ -267,3 +267,24 @@ def test_a_second_search_reuses_the_index_and_does_not_shuffle_it(spark):
     side = plan[plan.rindex("SortMergeJoin [cell"):]
     scan = side[:side.index("resight_index")]
     assert "Exchange" not in scan[scan.rindex("+- Sort [cell"):] and "Bucketed: true" in side
+
+
+def test_search_beyond_the_bound_of_pivots(spark):
+    d = _vectors(spark).filter("vec is not null and scale is not null")
+    q = d.withColumn("query_id", F.col("vec_id") % 11).drop("target")
+    few = SMALL_BLOCKS.__class__(block_rows=8, db_block_rows=16, blocks_per_salt=1, max_pivot_cells=1)
+    got, want = (neighbours.neighbours(q, d, 3, "exact", p) for p in (few, SMALL_BLOCKS))
+    shown = [x.select("query_id", "scale", "q_vec", "d_vec", "target", F.round("dist", 9).alias("dist")) for x in (got, want)]
+    assert sorted(map(str, shown[0].collect())) == sorted(map(str, shown[1].collect()))
+
+
+def test_cells_out_of_reach_are_not_measured(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(40, 4))[rng.integers(0, 40, 1600)] * 10 + rng.normal(size=(1600, 4)) * 0.1
+    d = spark.createDataFrame([(1, i, [float(x) for x in p], i % 5) for i, p in enumerate(points)],
+                              "scale int, vec_id long, vec array<double>, target int")
+    index = stored_index.write_index(d, scratch_path(spark, "index"), SMALL_BLOCKS)
+    row = stored_index.measured_share(d.withColumn("query_id", F.col("vec_id")), index, 3, SMALL_BLOCKS).first()
+    assert row["pairs"] == 1600 * 1600 and 0 < row["measured"] < 0.25 * row["pairs"]
