@@ -58,6 +58,13 @@ def _(t):
     return wide.withColumns({"dim": F.col("dim").cast("bigint"), "value": V.tidy(F.col("value"))})
 
 
+@query("j3_uniform_keypoints")
+def _(t):
+    """Descriptors between evenly spaced places, at the default sizes; tested against brute force."""
+    out = descriptors.gauss_descriptors(I.contour(t), GaussParams(uniform=True))
+    return out.withColumn("vec", F.transform("vec", lambda e: V.tidy(e)))
+
+
 @query("j2_extraction_status", f"""WITH {DESCRIPTORS}, nd AS (SELECT contour_id, count(DISTINCT (scale, idx0, idx1)) AS n FROM fe GROUP BY 1)
 SELECT contour_id, n IS NOT NULL AS success, coalesce(n, 0)::BIGINT AS n_desc FROM (SELECT DISTINCT user_id AS contour_id FROM events) LEFT JOIN nd USING (contour_id)""")
 def _(t):

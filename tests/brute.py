@@ -77,6 +77,8 @@ def gauss_descriptors(xy, p):
     peaks = [i for i in range(1, len(q) - 1) if q[i] > q[i - 1] and q[i] > q[i + 1]]
     peaks = sorted(peaks, key=lambda i: (-q[i], i))[: p.num_keypoints - 2]
     spots = [0, *sorted(i + steps // 2 for i in peaks), n]
+    if p.uniform:
+        spots = sorted({k * n // (p.num_keypoints - 1) for k in range(p.num_keypoints)})
     out = {}
     for m, s in p.scales:
         for a, b in combinations(spots, 2):

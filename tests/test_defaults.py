@@ -45,6 +45,17 @@ def test_gauss_descriptors(spark, contours):
         assert want.keys() == {k for k in got if k[0] == c} and all(np.allclose(want[k], got[k]) for k in want)
 
 
+def test_uniform_gauss_descriptors(spark, contours):
+    p = GaussParams(uniform=True)
+    spots = {k * p.length // (p.num_keypoints - 1) for k in range(p.num_keypoints)}
+    got = found(QUERIES["j3_uniform_keypoints"](spark, SMALL).toPandas(), "contour_id", "scale", "idx0", "idx1")
+    for c, xy in list(contours.items())[:1]:
+        mine = {k[1:]: v for k, v in got.items() if k[0] == c}
+        assert {i for k in mine for i in k[1:]} == spots
+        want = brute.gauss_descriptors(xy, p)
+        assert want.keys() == mine.keys() and all(np.allclose(want[k], mine[k], atol=1e-5) for k in want)
+
+
 def test_warping(spark, tables):
     p = WarpParams()
     queries, database = (df.toPandas() for df in week_series(tables, p.length))
