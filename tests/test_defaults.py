@@ -91,3 +91,33 @@ def test_from_points_to_scores(spark, contours):
     got = {(r.query_id, r.target_id): r.score for r in QUERIES["j4_contour_scores"](spark, SMALL).collect()}
     want = {k: s for k, s in scores.items() if s < -1e-5}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_descriptors_leave_in_bounded_parts():
+    """One batch of many curves gives hundreds of times its own size; no part holds it all."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from resight.operators import descriptors
+
+    params, rng = GaussParams(length=256, num_keypoints=20, feat_dim=16), np.random.default_rng(3)
+    spots = np.linspace(0, 256, 20).astype(int).tolist()
+    kinds = [("contour_id", T.LongType()), ("scale", T.StringType()), ("idx0", T.LongType()), ("idx1", T.LongType()),
+             ("vec", T.ArrayType(T.DoubleType()))]
+    schema = to_arrow_schema(T.StructType([T.StructField(*k) for k in kinds]))
+    many = 120
+    curve = lambda: pa.array([rng.normal(size=256).tolist() for _ in range(many)], pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_pydict({"contour_id": pa.array(range(many)), "xs": curve(), "ys": curve(),
+                                        "keypoints": pa.array([spots] * many, pa.list_(pa.int64()))})
+    parts = [b.num_rows for b in descriptors._gauss_features(iter([batch]), schema, params)]
+    one = 190 * 16
+    assert sum(parts) == many * 190 * 4
+    assert len(parts) > 1 and max(parts) * 16 <= descriptors.PART_VALUES + one
+
+    schema = schema.set(1, pa.field("scale", pa.float64()))
+    batch = pa.RecordBatch.from_pydict({"contour_id": pa.array(range(many)), "scale": pa.array([0.5] * many), "values": curve(),
+                                        "keypoints": pa.array([spots[:-1]] * many, pa.list_(pa.int64()))})
+    parts = [b.num_rows for b in descriptors._curvature_features(iter([batch]), schema, 64)]
+    assert sum(parts) == many * 171
+    assert len(parts) > 1 and max(parts) * 64 <= descriptors.PART_VALUES + 171 * 64
