@@ -55,6 +55,30 @@ def test_exact_uses_pivots_at_every_size(vectors):
     assert "cell#" in plan
 
 
+def test_a_query_is_copied_to_few_parts(spark):
+    """However many cells there are; a crowded cell runs through several parts. Ids may be text."""
+    rng = np.random.default_rng(11)
+    data = np.concatenate([rng.normal(size=(500, 4)), 5 + 0.01 * rng.normal(size=(500, 4))])
+    data[-40:] = data[-1]
+    params = NeighbourParams(block_rows=4, db_block_rows=8, pivots=60, part_rows=50, max_parts=3, max_hands=2)
+    vectors, sizes = data[:900:15], np.bincount(rng.integers(0, 60, 200), minlength=60) + 800 * (np.arange(60) == 7)
+    layout = neighbours.Layout(vectors, sizes, 1000, params)
+    assert layout.holds.shape == (60, 3) and layout.hands == 2 and layout.holds[7].sum() >= 2
+    places = np.concatenate([layout.places(np.full(n, c), np.arange(n)) for c, n in enumerate(sizes)])
+    assert sorted(places) == list(range(1000))
+    assert all(layout.holds[c, p // layout.part_rows] for c, n in enumerate(sizes) for p in layout.places(np.full(n, c), np.arange(n)))
+    names = [f"v{i:04d}" for i in rng.permutation(1000)]
+    d = spark.createDataFrame([(0, n, v.tolist(), n) for n, v in zip(names, data)], "scale int, vec_id string, vec array<double>, target string")
+    q = d.withColumn("query_id", F.col("vec_id"))
+    order = np.argsort(names)
+    full = np.sqrt(((data[:, None] - data[None]) ** 2).sum(2))
+    for method in ("exact", "blocked"):
+        got = neighbours.neighbours(q, d, 3, method, params).toPandas().sort_values(["dist", "d_vec"]).groupby("q_vec")["d_vec"].apply(list)
+        for i in range(0, 1000, 7):
+            near = order[np.argsort(full[i][order], kind="stable")][:3]
+            assert got[names[i]] == [names[k] for k in near]
+
+
 def test_near_copies_are_measured_in_bounded_steps():
     rng = np.random.default_rng(3)
     base = rng.normal(size=16)
