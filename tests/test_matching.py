@@ -432,3 +432,35 @@ def test_ranks_of_a_crowded_query(spark):
         for name in settings:
             spark.conf.unset(name)
     assert sum(r["count"] for r in tasks) == 20000 and max(r["count"] for r in tasks) < 9000
+
+
+def test_blocks_give_the_nearest_only():
+    best = np.array([[3.0, 1.0, 2.0, 2.0, np.inf], [np.inf, 5.0, np.inf, np.inf, np.inf]])
+    rows, cols = warping._first_in_block(best, 2)
+    assert list(zip(rows, cols)) == [(0, 1), (0, 2), (0, 3), (1, 1)]
+    assert len(warping._first_in_block(best, 9)[0]) == 5
+
+
+def test_blocks_are_copied_to_a_bounded_grid(spark):
+    from resight.operators import blocks
+
+    side = spark.range(400).select(F.col("id").alias("no"), F.col("id").alias("v"))
+    met = blocks.meet_all(side, side.withColumnRenamed("v", "w"), 400, 400, 2)
+    assert met.select("v", "w").distinct().count() == met.count() == 160_000
+    assert met.agg(F.max("_row"), F.max("_col")).first() == (blocks.GRID - 1, blocks.GRID - 1)
+
+
+def test_ranks_make_a_table_of_scores_twice_at_most(spark):
+    """Once for the true individuals and once for all that come before them; counting takes no further pass."""
+    made = spark.sparkContext.accumulator(0)
+
+    def score(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(600).selectExpr("id % 20 as query_id", "id div 20 as target_id", "double((id * 7) % 101) as score")
+    scores = rows.mapInArrow(score, rows.schema).groupBy("query_id", "target_id").agg(F.min("score").alias("score"))
+    truth = spark.range(20).selectExpr("id as query_id", "id as ind")
+    assert len(ranking.true_ranks(scores, truth, ["query_id"]).collect()) == 20
+    assert made.value <= 1200
