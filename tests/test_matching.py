@@ -614,3 +614,21 @@ def test_requested_pairs_of_a_label_are_not_shuffled(spark):
 
     plan = QUERIES["j5_pair_scores"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("Generate explode(_members")[0]
+
+
+def test_series_without_numbers_are_last(spark):
+    """An individual's score is the least that is a number, wherever its series lie; without any it is NaN."""
+    rng = np.random.default_rng(13)
+    q, d = rng.uniform(size=(2, 8, 2)), rng.uniform(size=(14, 8, 2))
+    bad = [0, 2, 3, 9, 10, 11, 12, 13]
+    d[bad, 4, 0] = np.nan
+    owner = [0, 0, 1, 1, 2, 3, 3, 3, 3, 3, 4, 4, 4, 4]
+    qs = spark.createDataFrame([(i, i, q[i].ravel().tolist()) for i in range(2)], "query_id long, series_id long, values array<double>")
+    rows = [(o, j, [None if np.isnan(x) else float(x) for x in d[j].ravel()]) for j, o in enumerate(owner)]
+    ds = spark.createDataFrame(rows, "target_id long, series_id long, values array<double>")
+    for some in (ds, ds.where("target_id in (3, 4)"), ds.where("target_id = 4")):
+        for block in (2, 64):
+            p = WarpParams(window=3, length=8, block_rows=block)
+            for r in warping.warping_scores(qs, some, p, 2).collect():
+                mine = [brute.warp(q[r.query_id], d[j], np.ones(8), 3, "chi_square") for j in range(14) if owner[j] == r.target_id and j not in bad]
+                assert r.score == pytest.approx(min(mine)) if mine else np.isnan(r.score)
