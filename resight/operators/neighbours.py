@@ -201,19 +201,23 @@ class _Asked:
             self.far = np.sqrt(_squared(self.vec, pivots.vectors[scale])) - pivots.radii[scale][None, :]
             self.near = pivots.candidates(scale, self.vec, count)
 
+    def runs(self, d: pa.StructArray, vec: np.ndarray) -> list[tuple[slice | np.ndarray, np.ndarray]]:
+        """Queries and rows of the block that have to meet."""
+        if self.near is None:
+            return [(slice(None), np.arange(len(d)))]
+        cells = d.field("cell").to_numpy()
+        order = np.argsort(cells, kind="stable")
+        starts = np.flatnonzero(np.diff(cells[order], prepend=-1))
+        runs = []
+        for at, rows in zip(cells[order][starts], np.split(order, starts[1:])):
+            asked = np.flatnonzero(self.near[:, at] & (self.far[:, at] <= self.within + 1e-6))
+            if len(asked):
+                runs.append((asked, rows))
+        return runs
+
     def meet(self, d: pa.StructArray) -> None:
         ids, vec, places = d.field("d_vec"), _matrix(d.field("vec")), _by_rank(d.field("d_vec"))
-        if self.near is None:
-            runs = [(slice(None), np.arange(len(d)))]
-        else:
-            cells = d.field("cell").to_numpy()
-            order = np.argsort(cells, kind="stable")
-            starts = np.flatnonzero(np.diff(cells[order], prepend=-1))
-            runs = []
-            for at, rows in zip(cells[order][starts], np.split(order, starts[1:])):
-                asked = np.flatnonzero(self.near[:, at] & (self.far[:, at] <= self.within + 1e-6))
-                if len(asked):
-                    runs.append((asked, rows))
+        runs = self.runs(d, vec)
         found = []
         for asked, rows in runs:
             row, col, dist = nearest_in_block(self.vec[asked], vec[rows], places[rows], self.count, within=self.within[asked])

@@ -1,13 +1,18 @@
 """Exact nearest neighbours from a stored index.
 
 Rows of an index lie in cells around pivots, and cells around heads, which are pivots too. All three levels are tables:
-heads(scale, _centres), cells(head, _centres) and blocks(cell, salt, block, scale, _items), bucketed by (cell, salt).
+heads(lead, scale, _centres), cells(head, _centres) and blocks(cell_part, lead, cell, salt, block, scale, stretch, _items).
 Heads and cells keep the least and the largest distance of their members, so a search needs no pivot on the driver,
-whatever the number of scales or rows, and never shuffles the database.
+whatever the number of scales or rows.
+
+Heads that lie near each other follow one another, and the row of cells is cut into parts, by whose number and `lead` (the
+least head of the scale) blocks are bucketed. A scale has at most `max_parts` parts until one would hold more than
+`full_part` rows, so a search copies a query to few parts, however many cells are in reach, and never shuffles the database.
+Inside a part cells are skipped one by one, and a query leaves it with its `count` best only.
 
 There is about one pivot per 2 * `block_rows` rows and one head per root of the pivots. A scale keeps at most
 `db_block_rows` heads and a head as many cells: further pivots are not used, which makes cells larger and loses no row.
-Cells of more than `blocks_per_salt` blocks are spread over salts, so equal vectors fill several buckets.
+Cells of more than `blocks_per_salt` blocks are spread over salts, which may lie in several parts.
 
 Vectors that are null or have no scale are not indexed and find nothing. Ties go to the smaller id. A query of a scale that is
 not stored has no result.
@@ -28,11 +33,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from resight.operators import blocks
-from resight.operators.neighbours import _block_neighbours, _matrix, _renamed, _result_schema, _squared, keep_nearest
+from resight.operators.neighbours import _Asked, _blocks_of, _matrix, _renamed, _result_schema, _squared, keep_nearest
 from resight.params import NeighbourParams
 from resight.session import cut, discard
 
 KEYS = ["query_id", "scale", "q_vec"]
+PART = ["cell_part", "lead"]
 STEP = 1024
 
 
@@ -41,6 +47,8 @@ class StoredIndex:
     heads: DataFrame
     cells: DataFrame
     blocks: DataFrame
+    #: Buckets of the blocks.
+    buckets: int
 
 
 def _bunch(df: DataFrame, key: str) -> DataFrame:
@@ -109,20 +117,56 @@ def _nearest(met: DataFrame, key: str, centre: str, far: str | None = None) -> D
     return _beside(met, key, added, choose)
 
 
-def _within(met: DataFrame, key: str, centre: str) -> DataFrame:
-    """Every item beside each centre whose members may lie within the item's bound."""
+def _slack(vec: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distances by products err by up to about 1e-8 of the length of the vectors."""
+    length = np.sqrt((vec * vec).sum(axis=1)) + np.sqrt((points * points).sum(axis=1)).max(initial=0.0)
+    return 1e-6 * (1.0 + length)
+
+
+def _bounded(met: DataFrame, key: str, count: int) -> DataFrame:
+    """Every item with a distance within which there are `count` stored vectors: pivots, or all members of the nearest cells."""
     def choose(dist, items, centres, points):
-        low, high = (centres.field(n).to_numpy(zero_copy_only=False) for n in ("low", "high"))
-        vec = _matrix(items.field("vec"))
-        # Distances by products err by up to about 1e-8 of the length of the vectors.
-        length = np.sqrt((vec * vec).sum(axis=1)) + np.sqrt((points * points).sum(axis=1)).max(initial=0.0)
-        bound = (items.field("bound").to_numpy(zero_copy_only=False) + 1e-6 * (1.0 + length))[:, None]
-        rows, cols = np.nonzero((dist - high[None, :] <= bound) & (low[None, :] - dist <= bound))
-        cols = pa.array(cols)
-        return rows, {centre: centres.field("id").take(cols), "salts": centres.field("salts").take(cols)}
+        high, n = (centres.field(f).to_numpy(zero_copy_only=False) for f in ("high", "n"))
+        ends = dist + high[None, :]
+        order = np.argsort(ends, axis=1)
+        enough = np.cumsum(n[order], axis=1) >= count
+        rows, first = np.arange(len(dist)), enough.argmax(axis=1)
+        bound = np.where(enough[rows, first], ends[rows, order[rows, first]], np.inf)
+        if dist.shape[1] >= count:
+            bound = np.fmin(bound, np.partition(dist, count - 1, axis=1)[:, count - 1])
+        bound = np.where(np.isnan(bound), np.inf, bound) + _slack(_matrix(items.field("vec")), points)
+        return rows, {"bound": bound}
+
+    return _beside(met, key, [T.StructField("bound", T.DoubleType())], choose)
+
+
+def _in_reach(met: DataFrame, key: str) -> DataFrame:
+    """Every item beside each part that holds a head whose members may lie within the item's bound."""
+    def choose(dist, items, centres, points):
+        low, high, first, last = (centres.field(n).to_numpy(zero_copy_only=False) for n in ("low", "high", "first", "last"))
+        bound = (items.field("bound").to_numpy(zero_copy_only=False) + _slack(_matrix(items.field("vec")), points))[:, None]
+        near = (dist - high[None, :] <= bound) & (low[None, :] - dist <= bound)
+        at = np.arange(last.max() + 1)[None, :]
+        holds = (first[:, None] <= at) & (at <= last[:, None])
+        rows, part = np.nonzero(near.astype(np.float32) @ holds.astype(np.float32))
+        return rows, {"cell_part": part}
 
-    items = met.select(key, F.transform("_items", lambda e: e.dropFields("salts")).alias("_items"), "_centres")
-    return _beside(items, key, [T.StructField(centre, T.LongType()), T.StructField("salts", T.LongType())], choose)
+    return _beside(met, key, [T.StructField("cell_part", T.LongType())], choose)
+
+
+def _turns(heads: DataFrame) -> DataFrame:
+    """(lead, head, turn): heads of a scale in the order of their places along the direction in which they differ most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lead, centres in zip(batch.column("lead"), batch.column("_centres")):
+                points = np.nan_to_num(_matrix(centres.values.field("vec")))
+                along = points - points.mean(axis=0)
+                order = np.argsort(along @ np.linalg.svd(along, full_matrices=False)[2][0], kind="stable")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lead.as_py()] * len(order), pa.int64()), centres.values.field("id").take(pa.array(order)),
+                     pa.array(np.arange(len(order)))], names=["lead", "head", "turn"])
+
+    return heads.select("lead", "_centres").mapInArrow(run, "lead bigint, head bigint, turn bigint")
 
 
 def _centres(rows: DataFrame, key: str, *more: str) -> DataFrame:
@@ -154,9 +198,9 @@ def write_index(database: DataFrame, place: str, params: NeighbourParams = Neigh
     leads = pivots.filter("lead")
     first = W.partitionBy("scale").orderBy("id")
     leads = leads.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= params.db_block_rows)
-    heads = cut(_centres(leads, "scale"), "heads")
+    heads = cut(_centres(leads, "scale").withColumn("lead", F.col("_centres")[0]["id"]), "heads")
     # A head is the first cell of its own.
-    homed = _nearest(_bunch(pivots.select("scale", "vec", "id", "lead"), "scale").join(heads, "scale"), "scale", "near")
+    homed = _nearest(_bunch(pivots.select("scale", "vec", "id"), "scale").join(heads, "scale"), "scale", "near")
     kept = leads.select(F.col("id").alias("_lead"))
     homed = homed.join(kept, homed["id"] == kept["_lead"], "left").withColumn("head", F.coalesce("_lead", "near"))
     own = W.partitionBy("head").orderBy(F.col("id") != F.col("head"), "id")
@@ -168,73 +212,146 @@ def write_index(database: DataFrame, place: str, params: NeighbourParams = Neigh
     packed = blocks.pack(at_head, ["head"], "d_vec", columns, params.block_rows)
     placed = cut(_nearest(packed.join(cells, "head"), "head", "cell", "far"), "placed")
 
-    reach = placed.groupBy("scale", "head").agg(F.min("far_head").alias("low"), F.max("far_head").alias("high"))
     salted = params.db_block_rows * params.blocks_per_salt
-    sizes = cut(placed.groupBy("head", "cell").agg(
+    sizes = placed.groupBy("head", "cell").agg(
         F.min("far").alias("low"), F.max("far").alias("high"), F.count(F.lit(1)).alias("n"),
-        F.ceil(F.count(F.lit(1)) / F.lit(salted)).cast("bigint").alias("salts")), "sizes")
-    with_reach = leads.select(F.col("id").alias("head"), "vec").join(reach, "head").withColumns(
-        {"id": F.col("head"), "salts": F.lit(1).cast("bigint")})
-    _centres(with_reach, "scale", "low", "high", "salts").write.parquet(f"{place}/heads")
+        F.ceil(F.count(F.lit(1)) / F.lit(salted)).cast("bigint").alias("salts"))
+    in_head = W.partitionBy("head").orderBy("cell")
+    sizes = cut(sizes.withColumn("_before", F.sum("n").over(in_head) - F.col("n")), "sizes")
+    # Places of the heads in the row of their scale's cells, and with them the parts.
+    reach = placed.groupBy("head").agg(F.min("far_head").alias("low"), F.max("far_head").alias("high"), F.count(F.lit(1)).alias("_n"))
+    rows, total = F.lit(params.part_rows), F.sum("_n").over(W.partitionBy("lead"))
+    parts = F.least(F.ceil(total / rows), F.greatest(F.lit(params.max_parts), F.ceil(total / F.lit(params.full_part))))
+    in_scale = W.partitionBy("lead").orderBy("turn")
+    laid = cut(_turns(heads).join(reach, "head").withColumns({
+        "_start": F.sum("_n").over(in_scale) - F.col("_n"), "_part_rows": F.ceil(total / parts).cast("bigint")}), "laid")
+    part = lambda place: F.floor(place / F.col("_part_rows")).cast("bigint")
+    with_reach = leads.select("scale", F.col("id").alias("head"), "vec").join(laid, "head").withColumns({
+        "id": F.col("head"), "first": part(F.col("_start")), "last": part(F.col("_start") + F.col("_n") - 1)})
+    centres = _centres(with_reach, "scale", "low", "high", "first", "last")
+    centres.join(heads.select("scale", "lead"), "scale").write.parquet(f"{place}/heads")
     with_size = sizes.withColumn("id", F.col("cell")).join(pivot_cells.select("id", "vec"), "id")
-    _centres(with_size, "head", "low", "high", "salts").write.parquet(f"{place}/cells")
+    _centres(with_size, "head", "low", "high", "salts", "n").write.parquet(f"{place}/cells")
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spot = placed.join(sizes.select("cell", "salts", "n"), "cell").withColumns({
+    many = _blocks_of(params)[1]
+    lies = sizes.join(laid.select("head", "lead", "_start", "_part_rows"), "head").select(
+        "cell", "salts", "n", "lead", "_part_rows", (F.col("_start") + F.col("_before")).alias("_start"))
+    spot = placed.join(lies, "cell").withColumns({
         "salt": F.pmod(F.xxhash64("d_vec"), F.col("salts")),
         "block": F.pmod(F.xxhash64("d_vec", F.lit(1)), F.ceil(F.col("n") / F.col("salts") / F.lit(params.db_block_rows)).cast("bigint")),
     })
-    stored = spot.groupBy("cell", "salt", "block", "scale").agg(F.collect_list(F.struct("d_vec", "target", "vec")).alias("_items"))
-    stored.repartition(buckets, "cell", "salt").write.bucketBy(buckets, "cell", "salt").option("path", f"{place}/blocks").saveAsTable(
-        _table_name(place))
+    spot = spot.withColumn("_place", F.col("_start") + F.floor(F.col("salt") * F.col("n") / F.col("salts")).cast("bigint"))
+    spot = spot.withColumns({"cell_part": part(F.col("_place")), "stretch": F.floor(F.col("_place") / F.lit(many)).cast("bigint")})
+    stored = spot.groupBy(*PART, "cell", "salt", "block", "scale", "stretch").agg(F.collect_list(F.struct("d_vec", "target", "vec")).alias("_items"))
+    stored.repartition(buckets, *PART).write.bucketBy(buckets, *PART).option("path", f"{place}/blocks").saveAsTable(_table_name(place))
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{place}/info")
-    discard(spark, pivots, heads, pivot_cells, at_head, placed, sizes)
+    discard(spark, pivots, heads, pivot_cells, at_head, placed, sizes, laid)
     return read_index(spark, place)
 
 
 def read_index(spark: SparkSession, place: str) -> StoredIndex:
     """An index written before, in this session or another; its table is entered in the catalogue where it is unknown."""
-    name = _table_name(place)
+    name, buckets = _table_name(place), spark.read.parquet(f"{place}/info").first()["buckets"]
     if not spark.catalog.tableExists(name):
-        buckets = spark.read.parquet(f"{place}/info").first()["buckets"]
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{place}/blocks").schema)
-        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (cell, salt) INTO {buckets} BUCKETS LOCATION '{place}/blocks'")
-    return StoredIndex(spark.read.parquet(f"{place}/heads"), spark.read.parquet(f"{place}/cells"), spark.table(name))
-
-
-def _meet(asked: DataFrame, index: StoredIndex, count: int, params: NeighbourParams) -> DataFrame:
-    """Queries (KEYS, vec, cell, salt) beside the blocks of their cells. Only the queries are shuffled, into the buckets."""
-    items = index.blocks.schema["_items"].dataType.elementType
-    d = index.blocks.sparkSession.createDataFrame([], T.StructType([*items.fields]))
-    spark_schema = _result_schema(asked, d)
-    schema = to_arrow_schema(spark_schema)
-    packed = blocks.pack(asked, ["cell", "salt"], "q_vec", ["query_id", "q_vec", "vec"], params.block_rows).drop("block")
-    met = packed.withColumnRenamed("_items", "_q").hint("merge").join(
-        index.blocks.withColumnRenamed("_items", "_d"), ["cell", "salt"])
-    return met.select("scale", "_q", "_d").mapInArrow(lambda b: _block_neighbours(b, schema, count), spark_schema)
-
-
-def _candidates(queries: DataFrame, index: StoredIndex, count: int, params: NeighbourParams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What the home cells give, the queries (KEYS, vec, cell, salt) there, and those for all other cells in reach."""
+        by = ", ".join(PART)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{place}/blocks'")
+    return StoredIndex(spark.read.parquet(f"{place}/heads"), spark.read.parquet(f"{place}/cells"), spark.table(name), buckets)
+
+
+class _Reaching(_Asked):
+    """Queries with a bound in one part; the cells of a stretch are skipped by balls around the means of what it holds of them."""
+
+    def __init__(self, q: pa.StructArray, count: int):
+        super().__init__(q, count, None, "")
+        self.within = q.field("bound").to_numpy(zero_copy_only=False).copy()
+        self.measured = 0
+
+    def runs(self, d: pa.StructArray, vec: np.ndarray) -> list[tuple[slice | np.ndarray, np.ndarray]]:
+        cells = d.field("cell").to_numpy()
+        starts = np.flatnonzero(np.diff(cells, prepend=-1))
+        sizes = np.diff(np.append(starts, len(cells)))
+        means = np.add.reduceat(vec, starts, axis=0) / sizes[:, None]
+        off = vec - np.repeat(means, sizes, axis=0)
+        radii = np.sqrt(np.maximum.reduceat((off * off).sum(axis=1), starts))
+        limit = self.within + _slack(self.vec, means)
+        # What is not a number skips nothing.
+        near = ~(np.sqrt(_squared(self.vec, means)) - radii[None, :] > limit[:, None])
+        if near.mean(axis=0) @ sizes > 0.5 * len(vec):
+            runs = [(np.flatnonzero(near.any(axis=1)), np.arange(len(vec)))]
+        else:
+            runs = [(np.flatnonzero(near[:, at]), np.arange(starts[at], starts[at] + sizes[at])) for at in np.flatnonzero(near.any(axis=0))]
+        self.measured += sum(len(asked) * len(rows) for asked, rows in runs)
+        return runs
+
+
+def _stretch(blocks: pa.ListScalar) -> pa.StructArray:
+    """The items of the blocks (cell, _items) of a stretch, with the number of their block as their cell."""
+    lists = blocks.values.field("_items")
+    sizes = np.diff(lists.offsets.to_numpy())
+    items = lists.flatten()
+    cells = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+    return pa.StructArray.from_arrays([*items.flatten(), cells], names=[*(f.name for f in items.type), "cell"])
+
+
+def _part_neighbours(batches: Iterator[pa.RecordBatch], schema: pa.Schema, count: int, measure: bool) -> Iterator[pa.RecordBatch]:
+    """The best of every query block over all the stretches that follow each other beside it, or the number of pairs measured."""
+    asked = known = scale = None
+
+    def give() -> Iterator[pa.RecordBatch]:
+        if asked is not None and measure:
+            yield pa.RecordBatch.from_arrays([pa.array([scale.as_py()], schema.field("scale").type), pa.array([asked.measured])], schema=schema)
+        elif asked is not None:
+            yield from asked.found(scale, schema)
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            key = tuple(batch.column(c)[r].as_py() for c in (*PART, "_qb"))
+            if key != known:
+                yield from give()
+                known, scale = key, batch.column("scale")[r]
+                asked = _Reaching(batch.column("_q")[r].values, count)
+            asked.meet(_stretch(batch.column("_d")[r]))
+    yield from give()
+
+
+def _copies(queries: DataFrame, index: StoredIndex, count: int, params: NeighbourParams) -> DataFrame:
+    """Queries (KEYS, vec, bound, _qb) with every part (cell_part, lead) that holds a head in reach.
+
+    The cells of a query's nearest head bound the distance of its last neighbour.
+    """
     q = queries.select("query_id", "scale", F.col("vec_id").alias("q_vec"), F.col("vec").cast("array<double>").alias("vec"))
     q = q.filter("scale is not null and vec is not null")
     columns = [*KEYS, "vec"]
-    one = F.lit(1).cast("bigint")
-    at_head = cut(_nearest(_bunch(q, "scale").join(index.heads, "scale"), "scale", "head"), "at-head")
-    home = cut(_nearest(
-        blocks.pack(at_head, ["head"], "q_vec", columns, params.block_rows).join(index.cells, "head"), "head", "home"), "home")
-    at_home = home.select(*columns, F.col("home").alias("cell"), (one - 1).alias("salt"))
-    near = cut(_meet(at_home, index, count, params), "near")
-    bounds = keep_nearest(near, count).groupBy(*KEYS).agg(F.max("dist").alias("_d"), F.count(F.lit(1)).alias("_n"))
-    bound = F.when(F.col("_n") >= count, F.col("_d")).otherwise(F.lit(float("inf")))
-    asked = home.select(*columns, "home").join(bounds, KEYS, "left").select(*columns, "home", bound.alias("bound"))
     # Packing counts its rows first, so what is costly to find is written.
-    by_head = cut(_within(_bunch(asked.withColumn("salts", one), "scale").join(index.heads, "scale"), "scale", "head"), "by-head")
-    packed = blocks.pack(by_head, ["head"], "q_vec", [*columns, "home", "bound", "salts"], params.block_rows)
-    by_cell = _within(packed.join(index.cells, "head"), "head", "cell")
-    salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")
-    rest = by_cell.select(*columns, "home", "cell", salt).filter("not (cell = home and salt = 0)").drop("home")
-    return near, at_home, cut(rest, "rest")
+    at_head = cut(_nearest(_bunch(q, "scale").join(index.heads, "scale"), "scale", "head"), "at-head")
+    packed = blocks.pack(at_head, ["head"], "q_vec", columns, params.block_rows)
+    bounded = cut(_bounded(packed.join(index.cells, "head"), "head", count).select(*columns, "bound"), "bounded")
+    discard(q.sparkSession, at_head)
+    numbers = cut(bounded.groupBy("scale").agg(F.ceil(F.count(F.lit(1)) / F.lit(_blocks_of(params)[0])).cast("bigint").alias("_qbs")), "numbers")
+    leads = index.heads.select("scale", "lead").join(numbers, "scale")
+    reached = _in_reach(_bunch(bounded, "scale").join(index.heads, "scale"), "scale").join(leads, "scale")
+    return reached.withColumn("_qb", F.pmod(F.xxhash64("query_id", "q_vec"), F.col("_qbs"))).drop("_qbs")
+
+
+def _search(queries: DataFrame, index: StoredIndex, count: int, params: NeighbourParams, measure: bool = False) -> DataFrame:
+    """What every part gives of the nearest; with `measure` (scale, measured): the pairs whose distance a task took.
+
+    Only the queries are shuffled: to their nearest head, and into the buckets, once to each part in reach.
+    """
+    copies = _copies(queries, index, count, params)
+    asked = copies.repartition(index.buckets, *PART).groupBy(
+        *PART, "_qb", "scale").agg(F.collect_list(F.struct("query_id", "q_vec", "vec", "bound")).alias("_q"))
+    held = index.blocks.groupBy(*PART, "stretch").agg(F.collect_list(F.struct("cell", "_items")).alias("_d"))
+    # The left side is streamed: the stretches of a query block follow each other.
+    met = asked.hint("merge").join(held, PART).select(*PART, "_qb", "scale", "_q", "_d")
+    items = index.blocks.schema["_items"].dataType.elementType
+    result = _result_schema(copies, copies.sparkSession.createDataFrame([], T.StructType([*items.fields])))
+    if measure:
+        result = T.StructType([result["scale"], T.StructField("measured", T.LongType())])
+    schema = to_arrow_schema(result)
+    return met.mapInArrow(lambda b: _part_neighbours(b, schema, count, measure), result)
 
 
 def stored_neighbours(
@@ -242,19 +359,14 @@ def stored_neighbours(
 ) -> DataFrame:
     """The `count` nearest stored vectors of every query vector, as `neighbours` returns them.
 
-    The nearest cell is searched first, in its first salt. What it gives bounds the distance of the last neighbour; only
-    cells that may hold a vector within it are searched after that.
+    The cells of the nearest head bound the distance of the last neighbour, and what a part's cells have shown bounds it further.
     """
-    near, _, rest = _candidates(queries, index, count, params)
-    return keep_nearest(near.unionByName(_meet(rest, index, count, params)), count)
+    return keep_nearest(_search(queries, index, count, params), count)
 
 
 def measured_share(queries: DataFrame, index: StoredIndex, count: int, params: NeighbourParams = NeighbourParams()) -> DataFrame:
     """(scale, measured, pairs): pairs of a query and a stored vector whose distance a search takes, and all pairs."""
-    _, at_home, rest = _candidates(queries, index, count, params)
-    rows = F.sum(F.size("_items")).alias("n")
-    sizes = index.blocks.groupBy("cell", "salt").agg(rows)
-    met = at_home.unionByName(rest).groupBy("scale", "cell", "salt").agg(F.count(F.lit(1)).alias("q")).join(sizes, ["cell", "salt"])
-    asked = at_home.groupBy("scale").agg(F.count(F.lit(1)).alias("q")).join(index.blocks.groupBy("scale").agg(rows), "scale")
-    return met.groupBy("scale").agg(F.sum(F.col("q") * F.col("n")).alias("measured")).join(
-        asked.select("scale", (F.col("q") * F.col("n")).alias("pairs")), "scale")
+    found = _search(queries, index, count, params, measure=True).groupBy("scale").agg(F.sum("measured").alias("measured"))
+    asked = queries.filter("scale is not null and vec is not null").groupBy("scale").agg(F.count(F.lit(1)).alias("q"))
+    rows = index.blocks.groupBy("scale").agg(F.sum(F.size("_items")).alias("n"))
+    return found.join(asked, "scale").join(rows, "scale").select("scale", "measured", (F.col("q") * F.col("n")).alias("pairs"))

@@ -288,3 +288,26 @@ def test_cells_out_of_reach_are_not_measured(spark):
     index = stored_index.write_index(d, scratch_path(spark, "index"), SMALL_BLOCKS)
     row = stored_index.measured_share(d.withColumn("query_id", F.col("vec_id")), index, 3, SMALL_BLOCKS).first()
     assert row["pairs"] == 1600 * 1600 and 0 < row["measured"] < 0.25 * row["pairs"]
+
+
+def test_a_stored_search_copies_a_query_to_few_parts(spark):
+    """Every cell is in reach of vectors spread evenly, and equal vectors fill several parts."""
+    import dataclasses
+
+    import numpy as np
+
+    params = dataclasses.replace(SMALL_BLOCKS, part_rows=16)
+    rng = np.random.default_rng(5)
+    even = spark.createDataFrame([("even", i, [float(x) for x in r], i % 5) for i, r in enumerate(rng.normal(size=(700, 8)))],
+                                 "scale string, vec_id long, vec array<double>, target int")
+    d = _vectors(spark).filter("vec is not null and scale is not null").unionAll(even)
+    q = d.withColumn("query_id", F.col("vec_id") % 11).drop("target")
+    index = stored_index.write_index(d, scratch_path(spark, "index"), params)
+    number = index.blocks.groupBy("scale").agg(F.countDistinct("cell_part").alias("parts"), F.countDistinct("cell").alias("cells")).collect()
+    assert all(r["parts"] == params.max_parts for r in number) and max(r["cells"] for r in number) > 30
+    asked = stored_index._copies(q, index, 3, params).groupBy("scale").count().join(q.groupBy("scale").agg(F.count("*").alias("n")), "scale")
+    assert all(r["n"] <= r["count"] <= params.max_parts * r["n"] for r in asked.collect())
+    got = stored_index.stored_neighbours(q, index, 3, params)
+    want = neighbours.neighbours(q, d, 3, "blocked")
+    shown = [x.select("query_id", "scale", "q_vec", "d_vec", "target", F.round("dist", 9).alias("dist")) for x in (got, want)]
+    assert sorted(map(str, shown[0].collect())) == sorted(map(str, shown[1].collect()))
