@@ -235,6 +235,35 @@ def linked_cells(rows: DataFrame, params: LineParams) -> DataFrame:
     return dealt.mapInArrow(work, "a bigint, b bigint")
 
 
+def shared_bands(banded: DataFrame) -> DataFrame:
+    """band, node and centre (the smallest node of the band) of rows (band, node) whose band has several nodes.
+
+    Rows are dealt by band and sorted; neighbours in that order tell which bands are shared, so a band of any number of
+    nodes runs through, and the many that nobody shares go no further.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row: band, node, centre, and whether the row before it has the same band
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            band, node = (batch.column(c).to_numpy() for c in ("band", "node"))
+            if held is not None:
+                band, node = np.append(held[0], band), np.append(held[1], node)
+            joined = np.append(False, band[1:] == band[:-1])
+            centre = node[np.maximum.accumulate(np.where(joined, 0, np.arange(len(band))))]
+            if held is not None and held[3]:
+                joined[0] = True
+                centre[: np.argmax(np.append(band != held[0], True))] = held[2]
+            shared = np.flatnonzero(joined[:-1] | joined[1:])
+            if len(shared):
+                yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in (band, node, centre)], names=["band", "node", "centre"])
+            held = band[-1], node[-1], centre[-1], joined[-1]
+        if held is not None and held[3]:
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in held[:3]], names=["band", "node", "centre"])
+
+    return banded.repartition("band").sortWithinPartitions("band", "node").mapInArrow(work, "band bigint, node bigint, centre bigint")
+
+
 def line_groups(df: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, line_no, keeper_id, keeper_line, kept of every line that is not blank; lines are numbered from 0.
 
@@ -257,14 +286,16 @@ def marked_groups(df: DataFrame, params: LineParams, id_col: str, text_col: str)
     """`line_groups`, with the mark of the text that a line stands in."""
     spark = df.sparkSession
     slim = df.select(F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = cut(scan_lines(slim, params), "lines")
+    scanned = cut(scan_lines(slim, params), "scanned")
     first = F.struct("id", "line_no", "mark")
-    nodes = lines.groupBy("key").agg(F.min(first).alias("first"), F.min_by("bands", first).alias("bands"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("centre")).where("_n > 1"), "buckets")
-    members = cut(banded.join(buckets.hint("merge"), "band"), "members")
-    discard(spark, buckets)
+    nodes = scanned.groupBy("key").agg(F.min(first).alias("first"), F.min_by("bands", first).alias("bands"))
+    banded = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "banded")
+    # Bands are most of the bytes, and needed for the members only.
+    lines = cut(scanned.drop("bands"), "lines")
+    discard(spark, scanned)
+    members = cut(shared_bands(banded.select(F.explode("bands").alias("band"), "node")), "members")
+    nodes = cut(banded.drop("bands"), "nodes")
+    discard(spark, banded)
     named = members.select("node").distinct()
     places = nodes.join(named, "node").select("node", "first.*")
     texts = cut(line_texts(slim, places).dropDuplicates(["node"]), "texts")
@@ -281,14 +312,14 @@ def marked_groups(df: DataFrame, params: LineParams, id_col: str, text_col: str)
 
     # Buckets that still hold several components: all parts with all parts. Of buckets of the same nodes one is enough.
     groups = cut(connected_components(links), "components")
-    named = cut(members.where("_n > 2").join(groups, "node", "left").select(
-        "band", "_n", "node", F.coalesce("component", "node").alias("component")), "named")
+    named = cut(members.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "named")
     discard(spark, members, groups)
-    ends = named.groupBy("band", "_n").agg(
-        F.min("component").alias("_least"), F.max("component").alias("_most"), F.min("node").alias("_first"), F.max("node").alias("_last"),
+    ends = named.groupBy("band").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("component").alias("_least"), F.max("component").alias("_most"), F.min("node").alias("_first"), F.max("node").alias("_last"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_xor"))
-    single = ends.where("_least != _most").groupBy("_n", "_first", "_last", "_sum", "_xor").agg(F.min("band").alias("band"))
-    rest = named.join(single.select("band"), "band")
+    # Two nodes have met as centre and member.
+    single = ends.where("_n > 2 AND _least != _most").groupBy("_n", "_first", "_last", "_sum", "_xor").agg(F.min("band").alias("band"))
+    rest = named.join(single.select("band", "_n"), "band")
     parts = F.ceil(F.col("_n") / params.block).cast("int")
     rest = rest.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
     cells = rest.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(

@@ -610,3 +610,24 @@ def test_pipeline(spark):
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {d for d, _ in after}
     assert packed.groupBy("sequence_id").sum("length").groupBy().max().first()[1] <= 1024
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_shared_bands_pass_one_shuffle_and_cross_batches(spark):
+    draw = np.random.default_rng(4)
+    rows = [(int(b), n) for n, b in enumerate(draw.integers(0, 60, 150))] + [(-1, n) for n in range(40)] + [(2**63 - 1, 3), (-(2**63), 5)]
+    rows += [(1000 + n, n) for n in range(50)]
+    banded = spark.createDataFrame(rows, "band long, node long").repartition(5)
+    want = {}
+    for band, node in rows:
+        want.setdefault(band, []).append(node)
+    want = sorted((b, n, min(of)) for b, of in want.items() if len(of) > 1 for n in of)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 2, 7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert sorted(map(tuple, lines.shared_bands(banded).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert lines.shared_bands(banded.limit(0)).count() == 0
+    plan = lines.shared_bands(spark.createDataFrame(rows, "band long, node long"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
